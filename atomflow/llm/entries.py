@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from atomflow.llm import op10
+from atomflow.llm import op1, op9, op10
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": op10.op10_exact_dedup}
+    return {"op1_chat_format": op1.op1_chat_format, "op9_warc": op9.op9_warc, "op10_exact_dedup": op10.op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": op10.SQL}
+    return {"op1_chat_format": op1.SQL, "op9_warc": op9.SQL, "op10_exact_dedup": op10.SQL}
