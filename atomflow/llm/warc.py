@@ -5,7 +5,7 @@ transfer framing, or, when its payload repeats that of a page with a larger id a
 least ``min_revisit`` bytes, a revisit record that refers to it. Blocks longer than
 ``segment`` bytes are cut: the first segment keeps the record's type, the rest are
 continuation records that name the origin, their number and, in the last one, the total
-length. Archives are plain WARC 1.1 files that Spark's own text writer puts into the given
+length. Archives are WARC 1.1 files, compressed with gzip as a whole, that Spark's own text writer puts into the given
 folder (a record ends in CR LF CR LF, which is the writer's line separator), so they can lie
 in any store that Spark reaches and are committed as a whole.
 
@@ -92,11 +92,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], segment: int, chunk: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE, **names: str) -> None:
-    """Writes the archives of pages into a new folder, at most per_file records in each."""
+def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE, compression: str = "gzip", **names: str) -> None:
+    """Writes the archives of pages into a new folder, at most per_file records in each; compression: gzip, for each file as a whole, or none."""
     rows = classified(pages, **names).withColumn("nr", F.monotonically_increasing_id())
     records = rows.mapInArrow(lambda it: _blocks(it, segment, chunk), "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
