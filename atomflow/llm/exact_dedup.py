@@ -94,7 +94,8 @@ class DigestIndex:
         judged = groups.join(earlier.hint("merge"), "digest", "left").select(
             "digest", F.when(F.col("earlier"), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"), "group_size", F.coalesce("earlier", F.lit(False)).alias("earlier")
         )
-        # Shuffled on both sides, so that a digest of very many rows is split among tasks.
+        # Stored, so that this join shuffles both sides and a digest of very many rows is split among tasks.
+        judged = stored(judged, "judged")
         return digests.join(judged.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("earlier")).alias("kept"), "digest"
         )
