@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atomflow.llm import op1, op2, op4, op5, op7, op8, op9, op10
+from atomflow.llm import op1, op2, op4, op5, op6, op7, op8, op9, op10
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": op2.op2_bpe,
         "op4_toxicity": op4.op4_toxicity,
         "op5_best_fit_packing": op5.op5_best_fit_packing,
+        "op6_near_vectors": op6.op6_near_vectors,
         "op7_substring_dedup": op7.op7_substring_dedup,
         "op8_token_matrices": op8.op8_token_matrices,
         "op9_warc": op9.op9_warc,
