@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from atomflow.llm import op1, op2, op4, op5, op6, op7, op8, op9, op10
+from atomflow.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": op1.op1_chat_format,
         "op2_bpe": op2.op2_bpe,
+        "op3_minhash": op3.op3_minhash,
         "op4_toxicity": op4.op4_toxicity,
         "op5_best_fit_packing": op5.op5_best_fit_packing,
         "op6_near_vectors": op6.op6_near_vectors,
