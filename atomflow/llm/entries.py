@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from atomflow.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_token_matrices": op8.op8_token_matrices,
         "op9_warc": op9.op9_warc,
         "op10_exact_dedup": op10.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -205,8 +205,10 @@ _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 def _judge(texts: pa.Table, answers: pa.Table, window: int, full: bool) -> pa.Table:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * full
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * full
+    rest = [c for c in ("rest",) if c in texts.column_names]
     if not texts.num_rows:
-        return _out([], names, types)
+        out = _out([], names, types)
+        return out.append_column("rest", texts.column("rest")) if rest else out
     ids, raw = _texts(texts)
     b = Batch(ids, raw, window)
     at = np.flatnonzero(b.left >= window)
@@ -227,24 +229,29 @@ def _judge(texts: pa.Table, answers: pa.Table, window: int, full: bool) -> pa.Ta
         kept = b" ".join([x for x, y in zip(words, out.tolist(), strict=True) if not y] if removed else words)
         row = (ids[i], hi - lo, removed, hashlib.sha256(kept).hexdigest())
         rows.append((*row, kept.decode() if removed else raw[i]) if full else row)
-    return _out(rows, names, types)
+    out = _out(rows, names, types)
+    for c in rest:
+        out = out.append_column(c, texts.column(c))
+    return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, full: bool = True, batch_bytes: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 13, full: bool = True, batch_bytes: int = BATCH, id_col: str = "doc_id", text_col: str = "text", rest: bool = False
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document.
 
-    With full also kept: the text as it was if nothing is removed, else the kept words joined by spaces.
+    With full also kept: the text as it was if nothing is removed, else the kept words joined by spaces. With rest
+    also rest: a struct of the document's further columns.
     """
-    spark = docs.sparkSession
+    partitions = shuffle_partitions(docs.sparkSession)
     size = input_bytes(docs)
-    ranges = max(shuffle_partitions(spark), -(-size // RANGE))
-    batches = max(shuffle_partitions(spark), -(-size // batch_bytes))
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    return _run(dealt, window, ranges, full)
-
-
-def _run(dealt: DataFrame, window: int, ranges: int, full: bool) -> DataFrame:
+    ranges, batches = max(partitions, -(-size // RANGE)), max(partitions, -(-size // batch_bytes))
+    doc_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    cols = [doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("batch")]
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    if rest:
+        cols.append(F.struct(*(docs[c] for c in others)).alias("rest") if others else F.struct(F.lit(0).alias("none")).alias("rest"))
+    dealt = docs.select(*cols)
     by_batch = dealt.groupBy("batch")
     sent = by_batch.applyInArrow(lambda t: _send_anchors(t, window, ranges), "range int, batch int, hashes binary")
     shared = sent.groupBy("range").applyInArrow(_answer_anchors, "batch int, range int, hashes binary")
@@ -252,5 +259,25 @@ def _run(dealt: DataFrame, window: int, ranges: int, full: bool) -> DataFrame:
         lambda t, a: _send_windows(t, a, window, ranges), "range int, batch int, hashes binary, owners binary"
     )
     smaller = windows.groupBy("range").applyInArrow(_answer_windows, "batch int, hashes binary")
-    schema = _RESULT + ", kept string" * full
+    schema = _RESULT + ", kept string" * full + (f", rest {dealt.schema['rest'].dataType.simpleString()}" if rest else "")
     return by_batch.cogroup(smaller.groupBy("batch")).applyInArrow(lambda t, a: _judge(t, a, window, full), schema)
+
+
+def without_repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents with their own columns and the repeated passages taken out of their texts.
+
+    Where words went, length_col, if there is one, gets the new number of characters.
+    """
+    out = remove_repeats(docs, window, id_col=id_col, text_col=text_col, rest=True)
+    cols = []
+    for f in docs.schema:
+        if f.name == id_col:
+            c = F.col("doc_id")
+        elif f.name == text_col:
+            c = F.col("kept")
+        elif f.name == length_col:
+            c = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("rest")[f.name])
+        else:
+            c = F.col("rest")[f.name]
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return out.select(*cols)
