@@ -37,9 +37,9 @@ SAMPLE_CHARS = 8000
 SHORTEST, LONGEST = 4, 7
 #: A feature must occur in so many documents of the sample.
 MIN_DOCS = 4
-#: Features kept for the model: those that tell of toxic texts by so much (a log-likelihood
-#: ratio, as chi-squared with one degree of freedom), and so many at most.
-EVIDENCE = 25.0
+#: Features kept for the model: those that tell of toxic texts with a log-likelihood ratio (chi-squared with one degree of
+#: freedom) of at least twice the logarithm of the number of features tried, plus MARGIN; and so many at most.
+MARGIN = 1.0
 FEATURES = 6000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -74,7 +74,7 @@ class Model:
         return float(sum(self.weights[i] * np.log2(1 + n) for i, n in seen.items()))
 
 
-def fit(texts: Sequence[str], grades: Sequence[int], known: dict[str, int], steps: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> Model:
+def fit(texts: Sequence[str], grades: Sequence[int], known: dict[str, int], steps: int = 600, rate: float = 0.1, penalty: float = 2e-5) -> Model:
     """Weights and thresholds of the cumulative-link model by full-batch gradient steps."""
     y = np.asarray(grades)
     top = int(y.max(initial=1))
@@ -154,11 +154,9 @@ def learn(texts: Sequence[str], toxic: Sequence[int]) -> Model | None:
     counts = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):
         counts[label].update({f for t in set(text.lower().split()) for fs in memory[t] for f in fs})
-    told = {}
-    for f in counts[0].keys() | counts[1].keys():
-        a, b = counts[1][f], counts[0][f]
-        if a + b >= MIN_DOCS and (ratio := _evidence(a, b, n[1], n[0])) >= EVIDENCE:
-            told[f] = ratio
+    tried = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= MIN_DOCS]
+    least = 2 * np.log(max(len(tried), 1)) + MARGIN
+    told = {f: e for f in tried if (e := _evidence(counts[1][f], counts[0][f], n[1], n[0])) >= least}
     telling = [f for f in told if counts[1][f] * n[0] > 3 * counts[0][f] * n[1]]
     known = {f: i for i, f in enumerate(sorted(telling, key=lambda f: (-told[f], f))[:FEATURES])}
     marks = Memory(lambda t: sum(not features(w).isdisjoint(known) for w in _LETTERS.findall(t)))
