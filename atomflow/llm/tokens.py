@@ -1,11 +1,11 @@
 """Encoders around public tokenizer files, with bounded memories of what they encoded.
 
-``ByteBpe`` gives the ids of the tokenizers library for a byte-level BPE file. Text is cut in front of every
-space that follows a character other than white space; the file's pre-tokeniser always breaks there and
-never looks back, so the ids of the parts are the ids of the whole. Parts that occurred before
-come from memory. New parts of Latin text go through tiktoken's merge loop, which
-works on the same vocabulary; every other part, and every part with the special token's string, goes through
-the tokenizers library itself.
+``ByteBpe`` gives the ids of the tokenizers library for a byte-level BPE file. A text of Latin letters, digits and signs
+goes through tiktoken's merge loop as a whole, which works on the same vocabulary and pattern and is
+several times as fast. Any other text is cut in front of every space that follows a character other than white
+space; the file's pre-tokeniser always breaks there and never looks back, so the ids of the
+parts are the ids of the whole. Parts that occurred before come from memory; new ones of Latin text go
+the first way, all others through the tokenizers library itself. So does every text with the special token's string.
 
 A tokenizer's path is a parameter; its file must be at that path on every executor.
 """
@@ -41,11 +41,14 @@ class Memory(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def library(path: str):
@@ -87,7 +90,10 @@ class ByteBpe:
         """The ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        special = any(s in text for s in self.special)
+        if not special and _LATIN.fullmatch(text):
+            return np.array(self.merges.encode_ordinary(text), "<u4").tobytes()
+        if special:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _CUT.split(text) if "  " in text or _SPACE.search(text) else text.split(" ")
         parts[1:] = [" " + p for p in parts[1:]]
