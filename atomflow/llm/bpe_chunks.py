@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomflow.llm.text import SPACES, mix, powers
+from atomflow.llm.text import SPACES, mix, powers, sliced
 from atomflow.llm.tokens import Memory, library, loaded
 
 WINDOW = 16
@@ -65,15 +65,28 @@ def cut_points(data: bytes, mean: int = MEAN) -> list[int]:
 class ChunkedBpe:
     """Encoder of whole texts through shared chunks, for tokenizers that drop white space."""
 
-    def __init__(self, path: str, mean: int = MEAN, words: int = 120_000, chunks: int = CHUNKS):
+    def __init__(self, path: str, mean: int = MEAN, words: int = 250_000, chunks: int = CHUNKS):
         self.tokenizer, self.mean = library(path), mean
         self.words = Memory(self._word, words)
         self.chunks = Memory(self._chunk, chunks)
         self.encoded_chunks = 0
+        self.tokens = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids and their decoded form: without a decoder in its file, the library joins tokens with spaces."""
+        return " ".join(map(str, ids)).encode(), " ".join([self.tokens[i] for i in ids]).encode()
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return " ".join(map(str, ids)).encode(), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+        return self._entry(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def meet(self, texts: list[str | None]) -> None:
+        """Encodes the words of some texts that aren't in memory, in one call of the library."""
+        new = [w for w in set(" ".join([t for t in texts if t]).encode().split()) if w not in self.words and w not in self.words.old]
+        if len(new) > self.words.size // 2:
+            return  # they would push each other out; each is encoded when it comes
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        for w, e in zip(new, encoded, strict=True):
+            self.words.put(w, self._entry(e.ids))
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, list[tuple[bytes, bytes]], bytes] | bool:
         """What stands before the first white space, the words between, and what follows the last one."""
@@ -112,7 +125,10 @@ class ChunkedBpe:
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, mean: int, full: bool) -> Iterator[pa.RecordBatch]:
     encoder = loaded(ChunkedBpe, tokenizer, mean)
     for batch in batches:
-        rows = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+        texts, rows = batch.column(1).to_pylist(), []
+        for lo, hi in sliced(texts, 1 << 20):
+            encoder.meet(texts[lo:hi])
+            rows += [encoder.encode(t) for t in texts[lo:hi]]
         cols = [
             batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
             pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string()),
