@@ -244,7 +244,7 @@ def remove_repeats(
     also rest: a struct of the document's further columns.
     """
     partitions = shuffle_partitions(docs.sparkSession)
-    size = input_bytes(docs)
+    size = input_bytes(docs, text_col)
     ranges, batches = max(partitions, -(-size // RANGE)), max(partitions, -(-size // batch_bytes))
     doc_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
     cols = [doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("batch")]
