@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ def recursive(spark: SparkSession, seed: DataFrame, step: str, keep: str, levels
     step: the select list over r that makes the next row of a row; keep: the condition on r under which it goes on.
     levels bounds the depth; a deeper loop fails rather than being cut off.
     """
-    name = f"loop_seed_{abs(hash((id(seed), step, keep)))}"
+    name = f"loop_seed_{uuid.uuid4().hex}"
     seed.createOrReplaceTempView(name)
     cols = ", ".join(seed.columns)
     return spark.sql(

@@ -74,12 +74,12 @@ def stash_until(df: DataFrame, keys: list[str], ready: Column, seq: str = SEQ) -
     return released.withColumn("__released", F.greatest(F.col(seq), F.col("__ready"))).drop("__ready")
 
 
-def sagas(operations: DataFrame, opening: dict[int, int] | None = None, seq: str = SEQ) -> DataFrame:
+def sagas(operations: DataFrame, groups: list[str], opening: dict[int, int] | None = None, seq: str = SEQ) -> DataFrame:
     """Transactions over accounts, one after the other: all operations of a saga succeed, or none takes effect.
 
     operations: saga, __seq, kind (deposit, withdraw), account, amount. A withdrawal succeeds if the balance covers it. The
-    result depends on the global order, so all sagas that may share accounts are folded in one task: give the
-    sagas of independent groups of accounts separately.
+    result depends on the order of all sagas that may share accounts, so those are folded in one task: groups names the
+    columns whose values tell independent groups of accounts apart.
     """
     start = dict(opening or {})
 
@@ -100,4 +100,4 @@ def sagas(operations: DataFrame, opening: dict[int, int] | None = None, seq: str
             out.append((saga, ok))
         return pd.DataFrame(out, columns=["saga", "success"])
 
-    return operations.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(fold, "saga bigint, success boolean")
+    return operations.groupBy(*groups).applyInPandas(fold, "saga bigint, success boolean")

@@ -219,11 +219,11 @@ def q_wrapper(spark, sf_dir):
     return out.df.select("event_id", F.col("x").cast("bigint").alias("x"))
 
 
-@query("SELECT event_id, event_id + 6 AS x FROM events WHERE event_id >= 1 AND event_id + 6 < 900")
+@query("SELECT event_id, event_id % 1000 + 6 AS x FROM events WHERE event_id % 1000 >= 1 AND event_id % 1000 + 6 < 900")
 def q_and_then(spark, sf_dir):
     """A fused chain of filters and maps."""
     add = lambda n: lambda df: df.withColumn("x", F.col("x") + n)
-    rows = Flow(_table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("x"))).filter(F.col("x") >= 1)
+    rows = Flow(_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("x"))).filter(F.col("x") >= 1)
     return rows.with_and_then(add(1)).with_and_then(add(2)).with_and_then(add(3)).with_and_then(lambda df: df.filter("x < 900")).df
 
 
@@ -355,13 +355,13 @@ def q_cycle(spark, sf_dir):
     return loops.until_empty(start, step)
 
 
-@query("SELECT event_id, event_id * event_id * event_id * event_id AS x FROM events WHERE event_id < 1000")
+@query("SELECT event_id, r * r * r * r AS x FROM (SELECT event_id, event_id % 1000 AS r FROM events)")
 def q_registry_chain(spark, sf_dir):
     """A second application reads the first one's stream by its path; both square."""
     registry = Registry(spark)
     square = lambda flow: flow.with_columns(x=F.col("x") * F.col("x"))
     with App("first", registry) as app:
-        source = app.generator(_table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.col("event_id").alias("x")), "numbers")
+        source = app.generator(_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("x")), "numbers")
         app.workflow(source, square, "square")
     with App("second", registry) as app:
         app.workflow(app.refer("/first/workflows/square/stream"), square, "again")
@@ -405,15 +405,16 @@ def q_cart_checkout(spark, sf_dir):
 
 @query()
 def q_bank_saga(spark, sf_dir):
-    """Transfers between accounts as all-or-nothing transactions in a global order."""
+    """All-or-nothing transactions between the two accounts of each pair of users, in stream order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    amount = (cents(F.col("value")) % 50).alias("amount")
+    bank = F.floor(F.col("user_id") / 2).cast("bigint").alias("bank")
+    second = F.when(F.col("event_type") == "purchase", "withdraw").otherwise("deposit")
     ops = F.explode(F.array(
-        F.struct(F.lit(0).alias("i"), F.lit("deposit").alias("kind"), (F.col("user_id") % 16).alias("account")),
-        F.struct(F.lit(1).alias("i"), F.when(F.col("event_type") == "purchase", "withdraw").otherwise("deposit").alias("kind"), ((F.col("user_id") + 1) % 16).alias("account")),
+        F.struct(F.lit(0).alias("i"), F.lit("deposit").alias("kind"), F.col("user_id").alias("account")),
+        F.struct(F.lit(1).alias("i"), second.alias("kind"), (F.col("user_id") + 1 - 2 * (F.col("user_id") % 2)).alias("account")),
     ))
-    rows = events.select(F.col("event_id").alias("saga"), amount, ops.alias("o")).select("saga", (F.col("saga") * 2 + F.col("o.i")).alias("__seq"), "o.kind", "o.account", "amount")
-    return machines.sagas(rows)
+    rows = events.select(bank, F.col("event_id").alias("saga"), (cents(F.col("value")) % 50).alias("amount"), ops.alias("o"))
+    return machines.sagas(rows.select("bank", "saga", (F.col("saga") * 2 + F.col("o.i")).alias("__seq"), "o.kind", "o.account", "amount"), ["bank"])
 
 
 @query("SELECT 10946::BIGINT AS fib")
@@ -433,10 +434,10 @@ def q_actor_fib(spark, sf_dir):
     return out.select(field_of("body", "fib").alias("fib"))
 
 
-@query("SELECT item_id, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hash FROM (SELECT item_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(upper(regexp_replace(text[1:20], '[^A-Za-z]', '', 'g')), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM benchmark)")
+@query("SELECT item_id, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hash FROM (SELECT item_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM benchmark)")
 def q_java_hash(spark, sf_dir):
-    """The JVM's hash of the letters in the first 20 characters, as a key."""
-    letters = F.upper(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]", ""))
+    """The JVM's hash of a text's letters, as a key."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return _table(spark, sf_dir, "benchmark").select("item_id", java_hash(letters).alias("hash"))
 
 

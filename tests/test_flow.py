@@ -140,8 +140,8 @@ def test_two_state_machine(spark):
 
 
 def test_sagas_are_all_or_nothing(spark):
-    ops = [(1, 0, "deposit", 1, 10), (2, 1, "withdraw", 1, 4), (2, 2, "withdraw", 1, 8), (3, 3, "withdraw", 1, 10)]
-    out = machines.sagas(spark.createDataFrame(ops, "saga bigint, __seq bigint, kind string, account bigint, amount bigint"))
+    ops = [(0, 1, 0, "deposit", 1, 10), (0, 2, 1, "withdraw", 1, 4), (0, 2, 2, "withdraw", 1, 8), (0, 3, 3, "withdraw", 1, 10)]
+    out = machines.sagas(spark.createDataFrame(ops, "bank int, saga bigint, __seq bigint, kind string, account bigint, amount bigint"), ["bank"])
     assert sorted(map(tuple, out.collect())) == [(1, True), (2, False), (3, True)]
 
 
