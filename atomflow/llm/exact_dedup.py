@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atomflow.llm.scratch import fresh_path, shuffle_partitions, stored
@@ -73,7 +74,7 @@ class DigestIndex:
         digests = stored(
             docs.select(
                 F.col(id_col).cast("bigint").alias("doc_id"),
-                F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
+                digest_of(text).alias("digest"),
                 F.coalesce(F.char_length(text), F.lit(0)).alias("length"),
             ),
             "batch-digests",
@@ -101,6 +102,25 @@ class DigestIndex:
         )
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their own columns: one for each distinct text.
+
+    Rows of one id and equal texts are rare and settled apart: the longest stays, then the first in the order of texts.
+    """
+    own = docs.select(*(docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)))
+    doc_id, text = (F.col(f"_{docs.columns.index(c)}") for c in (id_col, text_col))
+    own = own.withColumns({"_own_id": doc_id.cast("bigint"), "_own_digest": digest_of(text.cast("string"))})
+    stay = exact_dedup(docs, id_col, text_col).filter("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
+    both = own.join(stay.hint("merge"), (F.col("_own_digest") == F.col("digest")) & F.col("_own_id").eqNullSafe(F.col("doc_id")))
+    first = W.partitionBy("_own_digest", "_own_id").orderBy(F.char_length(text.cast("string")).desc_nulls_last(), text)
+    many = both.filter("_rows > 1").withColumn("_nr", F.row_number().over(first)).filter("_nr = 1").drop("_nr")
+    return both.filter("_rows = 1").unionByName(many).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One batch against an index of its own: doc_id, keep_id, group_size, kept, digest."""
     index = DigestIndex(docs.sparkSession)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="atomflow-")
+        folder = tempfile.mkdtemp(prefix="atomflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

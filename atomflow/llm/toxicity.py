@@ -198,3 +198,16 @@ def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """doc_id, expected_severity, grade (the median one) and toxic (grade above 0 is more likely than not)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _scored(it, model), "doc_id bigint, expected_severity double, grade int, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose grade is more likely 0 than not; texts are scored where they are read."""
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(lambda t: token_features(t, model.known))
+        for batch in batches:
+            above = model.above(np.array([model.score(t, memory) for t in batch.column(at).to_pylist()]))
+            yield batch.filter(pa.array(above[:, 0] < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema) if model else docs

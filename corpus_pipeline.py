@@ -14,34 +14,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomflow.llm.exact_dedup import exact_dedup
+from atomflow.llm.exact_dedup import kept_rows
 from atomflow.llm.op5 import pack_documents
 from atomflow.llm.scratch import stored
 from atomflow.llm.setsketch import near_duplicates
 from atomflow.llm.substring import without_repeats
-from atomflow.llm.toxicity import learn_from, severity
+from atomflow.llm.toxicity import learn_from, without_toxic
 
 #: Words of a repeated passage.
 PASSAGE = 50
 
 
-def _only(docs: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
-    """The rows of docs whose id has a row in judged that is kept."""
-    ids = judged.filter(keep).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, severity(docs, model), "NOT toxic")
+    return without_toxic(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup(docs), "kept").dropDuplicates(["doc_id", "text"])
+    return kept_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_duplicates(docs, k=5, num=80, den=100), "kept")
+    kept = near_duplicates(docs, k=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
