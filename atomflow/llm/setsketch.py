@@ -10,10 +10,10 @@ register with a chance near their Jaccard similarity, so bands of registers serv
    Pairs whose likelihood, jointly over the counts of larger, equal and smaller registers and given both set sizes,
    peaks clearly below the threshold are left out; the rest are confirmed on the full sets.
 3. Links make components. In buckets that still hold several components, every document outside the
-   bucket's largest one is compared, by its sketch, with the members of other components, in blocks inside
-   Python: first the best few by estimate are confirmed, then all that the estimate doesn't rule out. Documents that are
-   in one component already need no further comparison, so a group of any number of copies costs a few comparisons each
-   and no bucket is capped.
+   bucket's largest one is compared with the members of other components, in square blocks inside Python: by
+   sketch, then, from the best estimate down to what isn't ruled out, on the full sets, until one member of that component is
+   linked. Only links leave Python. Documents that are in one component already need no further
+   comparison, so a group of any number of copies costs a few comparisons each, and no bucket is capped.
 
 With ``miss`` as the bound for the chance that a pair exactly at the threshold shares no band, the band length follows.
 
@@ -42,7 +42,7 @@ REGISTERS = 160
 BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 1
-BLOCK = 512
+BLOCK = 256
 #: Candidates are left out if their estimate is so many standard errors below the threshold.
 ERRORS = 4.5
 #: Ids that are broadcast at most (8 bytes each); beyond, the same join shuffles.
@@ -120,7 +120,8 @@ def _bands(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         keys += np.arange(bands, dtype=np.uint64) << np.uint64(32)
         for i in range(length):
             keys = mix(keys + s[:, i : bands * length : length] + np.uint64(1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "doc_id"])
+        number = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(number), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "band", "doc_id"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -141,51 +142,60 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
 
 
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two full sets are similar enough."""
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return n > 0 and den * n >= num * (len(a) + len(b) - n)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = np.concatenate([a, b])
-            both.sort()
-            n = int((both[1:] == both[:-1]).sum())
-            keep.append(n > 0 and den * n >= num * (len(a) + len(b) - n))
+            keep.append(linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), num, den))
         yield pa.RecordBatch.from_struct_array(batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"]).to_struct_array())
 
 
-def _found(batches: Iterator[pa.RecordBatch], least: float, top: int | None) -> Iterator[pa.RecordBatch]:
-    """For the outsiders of each bucket's block, the members of other components that the estimate doesn't rule out; the best ones if top is given."""
-    out: list[np.ndarray] = []
-    held = 0
-    for g in runs_of(batches, ["key", "block"]):
+def _across(batches: Iterator[pa.RecordBatch], least: float, length: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links from the outsiders of a bucket's block to members of other components.
+
+    A pair that shares an earlier band is left to that bucket.
+    """
+    out: list[tuple[int, int]] = []
+    for g in runs_of(batches, ["key", "one", "two"]):
         asks = g["asks"].to_numpy().astype(bool)
         if not asks.any() or asks.all():
             continue
         ids, comp, n = (g[c].to_numpy() for c in ("doc_id", "comp", "n"))
+        outside = g["outside"].to_numpy().astype(bool)
+        band = g["band"][0].as_py()
         s = np.frombuffer(b"".join(g["sketch"].to_pylist()), "<u2").reshape(len(ids), REGISTERS)
+        full = [np.frombuffer(x.as_buffer(), "<u8") for x in g["members"].combine_chunks()]
         members = np.flatnonzero(~asks)
         for q in np.flatnonzero(asks):
-            m = members[(comp[members] != comp[q]) & (ids[members] != ids[q])]
-            if not len(m):
-                continue
-            greater, less = (s[q] > s[m]).sum(1), (s[q] < s[m]).sum(1)
-            near = REGISTERS - greater - less >= (least - 0.05) * REGISTERS
-            m, greater, less = m[near], greater[near], less[near]
+            # Of two outsiders, the one with the smaller id asks.
+            m = members[(comp[members] != comp[q]) & (~outside[members] | (ids[members] > ids[q]))]
+            equal = s[m] == s[q]
+            near = equal.sum(1) >= (least - 0.05) * REGISTERS
+            if band:
+                near &= ~equal[:, : band * length].reshape(len(m), band, length).all(2).any(1)
+            m = m[near]
             if not len(m):
                 continue
-            est = estimate(greater, less, np.full(len(m), float(n[q])), n[m].astype(float))
-            if top:
-                best = np.argsort(-est, kind="stable")[:top]
-                m, est = m[best], est[best]
-            m = m[est >= least]
-            out.append(np.stack([np.minimum(ids[q], ids[m]), np.maximum(ids[q], ids[m])]))
-            held += len(m)
-        if held > 50_000:
-            x = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["a", "b"])
-            out, held = [], 0
-    x = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["a", "b"])
+            est = estimate((s[q] > s[m]).sum(1), (s[q] < s[m]).sum(1), np.full(len(m), float(n[q])), n[m].astype(float))
+            done: set[int] = set()
+            for i in np.argsort(-est, kind="stable").tolist():
+                if est[i] < least:
+                    break
+                if comp[m[i]] not in done and linked(full[q], full[m[i]], num, den):
+                    done.add(comp[m[i]])
+                    out.append((ids[q], ids[m[i]]))
+    x = np.array(out, np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
 class NearDuplicates:
@@ -198,13 +208,16 @@ class NearDuplicates:
         self.least = threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
         self.length = band_length(threshold)
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """doc_id and members (the full set) of the documents with these distinct ids (a small stored table)."""
+        k = self.k
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+        return stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id bigint, members binary"), "sets")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a stored table) that are links by their full sets."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        ids = stored(ids, "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-        k, num, den = self.k, self.num, self.den
-        sets = stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id bigint, members binary"), "sets")
+        num, den = self.num, self.den
+        sets = self.sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
         full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
         return stored(full.select("a", "b", "ma", "mb").mapInArrow(lambda it: _confirmed(it, num, den), "a bigint, b bigint").distinct(), "links")
@@ -215,7 +228,7 @@ class NearDuplicates:
         groups = sketches.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
         own = sketches.alias("s").join(groups.hint("merge"), (F.col("s.sig") == groups["sig"]) & (F.col("s.doc_id") == F.col("rep")))
         nodes = stored(own.select("s.doc_id", "s.n", "s.sketch"), "nodes")
-        keys = stored(nodes.select("doc_id", "sketch").mapInArrow(lambda it: _bands(it, length), "key bigint, doc_id bigint"), "bands")
+        keys = stored(nodes.select("doc_id", "sketch").mapInArrow(lambda it: _bands(it, length), "key bigint, band int, doc_id bigint"), "bands")
         shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).filter("size > 1")
         buckets = stored(keys.join(shared.hint("merge"), "key"), "buckets")
 
@@ -224,36 +237,38 @@ class NearDuplicates:
         tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _likely(it, least), "a bigint, b bigint"), "pairs")
         links = self.confirmed(tested)
         labels = components(links)
-        for top in (4, None):
-            found = self.search(buckets, nodes, labels, top)
-            if found is None:
-                break
-            fresh = stored(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            if fresh.take(1):
-                links = links.unionByName(self.confirmed(fresh))
-                labels = components(links)
-                tested = tested.unionByName(fresh)
+        more = self.across(buckets, nodes, labels)
+        if more is not None and more.take(1):
+            labels = components(links.unionByName(more))
         whole = sketches.join(groups.hint("merge"), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
         labelled = whole.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    def search(self, buckets: DataFrame, nodes: DataFrame, labels: DataFrame, top: int | None) -> DataFrame | None:
-        """Pairs worth a confirmation across components, or None if every bucket is in one component."""
+    def across(self, buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Links across the components of buckets, or None if every bucket is in one component.
+
+        A bucket of two was settled when its pair was tested.
+        """
         placed = buckets.filter("size > 2").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-        placed = stored(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
+        placed = placed.select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("best"))
-        mixed = stored(mixed.filter("comps > 1").select("key", "size", (-F.col("best.back")).alias("most")), "mixed")
-        if not mixed.take(1):
+        mixed = mixed.filter("comps > 1").select("key", (-F.col("best.back")).alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("best.c")) / BLOCK).alias("ask_blocks"))
+        rows = placed.join(mixed.hint("merge"), "key").withColumn("outside", F.col("comp") != F.col("most"))
+        rows = stored(rows, "mixed")
+        if not rows.take(1):
             return None
-        rows = placed.join(mixed.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        every = rows.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        asking = rows.filter("comp <> most").withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        both = every.unionByName(asking).select("key", "block", "doc_id", "comp", "asks").join(nodes.hint("merge"), "doc_id")
-        dealt = both.repartition(shuffle_partitions(self.spark), "key", "block").sortWithinPartitions("key", "block")
-        least = self.least
-        return dealt.mapInArrow(lambda it: _found(it, least, top), "a bigint, b bigint")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+        every = rows.withColumn("asks", F.lit(False)).withColumn("one", mine("blocks")).withColumn("two", upto("ask_blocks"))
+        asking = rows.filter("outside").withColumn("asks", F.lit(True)).withColumn("two", mine("ask_blocks")).withColumn("one", upto("blocks"))
+        both = every.unionByName(asking).select("key", "band", "one", "two", "doc_id", "comp", "outside", "asks")
+        sets = self.sets_of(rows.select("doc_id").distinct())
+        both = both.join(nodes.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
+        dealt = both.repartition(shuffle_partitions(self.spark), "key", "one", "two").sortWithinPartitions("key", "one", "two")
+        least, length, num, den = self.least, self.length, self.num, self.den
+        return stored(dealt.mapInArrow(lambda it: _across(it, least, length, num, den), "a bigint, b bigint").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
