@@ -21,6 +21,13 @@ log = logging.getLogger("atomflow")
 Expressions = dict[str, Column]
 
 
+class Factory:
+    """Makes an operator, or another factory, when the plan is built. It must have no side effects."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+
 class Flow:
     """A stream inside a workflow."""
 
@@ -53,11 +60,11 @@ class Flow:
 
     task = processor
 
-    def init(self, factory: Callable[[], Callable[[DataFrame], DataFrame]]) -> Flow:
-        """Builds the operator when the plan is built; factories of factories are unwrapped by calling them."""
-        made = factory()
-        while not isinstance(made, Callable):
-            made = made()
+    def init(self, factory: Factory | Callable[[], Callable[[DataFrame], DataFrame]]) -> Flow:
+        """Builds the operator when the plan is built; a factory may make another factory."""
+        made = factory if isinstance(factory, Factory) else factory()
+        while isinstance(made, Factory):
+            made = made.make()
         return self._then(made, "init")
 
     def identity(self) -> Flow:

@@ -6,6 +6,7 @@ stopped, each atom taking effect once if the hook is idempotent for its batch nu
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +52,9 @@ class Runtime:
 
     def step_for(self, seconds: float) -> None:
         """Lets the queries run for a time."""
+        end = time.time() + seconds
         for q in self.queries:
-            q.awaitTermination(seconds)
-            break
+            q.awaitTermination(max(0.001, end - time.time()))
 
     def shutdown(self) -> None:
         for q in self.queries:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from atomflow.functions import java_hash
 from atomflow.operators import keyed, loops, machines, services
 from atomflow.operators.actors import Context, run_actors
-from atomflow.operators.flow import Flow
+from atomflow.operators.flow import Factory, Flow
 from atomflow.operators.routing import Sequencer, Splitter
 from atomflow.plans.app import App, PlanError, Registry
 from atomflow.sources import batch, from_list, from_lists, from_range
@@ -177,3 +177,25 @@ def test_actors_stop_and_drop(spark, tmp_path):
 def test_java_hash(spark):
     row = spark.range(1).select(java_hash(F.lit("the")).alias("a"), java_hash(F.lit("Hello, World!")).alias("b")).first()
     assert (row.a, row.b) == (114801, 1498789909)
+
+
+def test_factories_are_unwrapped(spark):
+    add = Factory(lambda: Factory(lambda: lambda df: df.withColumn("v", F.col("v") + 1)))
+    assert values(Flow(from_list(spark, [1, 2, 3])).init(add).df, "v") == [2, 3, 4]
+
+
+def test_two_applications_play_ping_pong(spark, tmp_path):
+    """Two applications answer each other through the registry until the count is down."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    registry = Registry(spark)
+    for name in ("ping", "pong"):
+        with App(name, registry) as app:
+            app.service("hit").replier(lambda requests: requests.filter("i > 1").withColumn("i", F.col("i") - 1))
+
+    def step(rows):
+        back = registry.get("/pong/services/hit").ask(rows)
+        forth = registry.get("/ping/services/hit").ask(back)
+        return back.unionByName(forth), forth
+
+    out = loops.until_empty(spark.createDataFrame([(8,)], "i bigint"), step)
+    assert sorted((r.i for r in out.collect()), reverse=True) == [7, 6, 5, 4, 3, 2, 1]
