@@ -104,7 +104,7 @@ def _packed(held: list[tuple], capacity: int, end_id: int, width: str, first: in
 
 def _rows(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
     encoder = loaded(ByteBpe, tokenizer)
-    width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    width = "<u2" if encoder.size <= 1 << 16 and end_id < 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
     at = TaskContext.get().partitionId() << 36
     held: list[tuple] = []

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from atomflow.llm.graph import components
 from atomflow.llm.scratch import shuffle_partitions, stored
-from atomflow.llm.text import mix, shingle_sets, sliced
+from atomflow.llm.text import mix, shingle_sets, sliced, trim
 from atomflow.llm.vectors import _groups as runs_of
 
 REGISTERS = 160
@@ -108,6 +108,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 sig.append(np.array([mix(s).sum(), mix(s * np.uint64(0xD6E8FEB86659FD93)).sum()], "<u8").tobytes() if len(s) else None)
                 out.append(next(sketch).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(out, pa.binary())], names)
+    trim()
 
 
 def _bands(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         for lo, hi in sliced(texts, 1 << 20):
             sets = shingle_sets(texts[lo:hi], k)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
+    trim()
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -196,6 +198,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, length: int, num: i
                     out.append((ids[q], ids[m[i]]))
     x = np.array(out, np.int64).reshape(-1, 2)
     yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+    trim()
 
 
 class NearDuplicates:

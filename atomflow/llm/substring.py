@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomflow.llm.scratch import input_bytes, shuffle_partitions
-from atomflow.llm.text import hash_runs, hash_words, mix, sliced
+from atomflow.llm.text import hash_runs, hash_words, mix, sliced, trim
 
 #: Bytes of input (as stored) in a batch of documents: a task's memory is some tens of times this. The shuffle has a
 #: row for each batch and range, so a cluster with large executors sets this higher for very large inputs.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Bytes of input (as stored) whose anchors one hash range takes, about half as many bytes.
 RANGE = 64 << 20
 _NONE = np.int64(2**63 - 1)
@@ -124,6 +124,7 @@ def _texts(table: pa.Table) -> tuple[list, list]:
 
 
 def _out(rows: list[tuple], names: list[str], types: list) -> pa.Table:
+    trim()
     cols = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 

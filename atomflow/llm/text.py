@@ -8,9 +8,11 @@ of about 2**-64; n compared runs therefore meet by accident about n*n/2**65 time
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -23,6 +25,15 @@ _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer needs back to the system, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
     have = _powers.get(base)

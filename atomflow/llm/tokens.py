@@ -12,6 +12,7 @@ A tokenizer's path is a parameter; its file must be at that path on every execut
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -67,18 +68,27 @@ class ByteBpe:
     def __init__(self, path: str, memory: int = MEMORY):
         import tiktoken
 
-        self.tokenizer = library(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
-        special_ids = set(added)
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special_ids = {t["id"] for t in file["added_tokens"]}
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.size = max([*file["model"]["vocab"].values(), *special_ids]) + 1
         # The file spells bytes as printable characters: the printable Latin-1 ones as themselves, the rest from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(byte_of[c] for c in s): i for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in special_ids}
+        ranks = {bytes(byte_of[c] for c in s): i for s, i in file["model"]["vocab"].items() if i not in special_ids}
         self.merges = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory = Memory(self._make, memory)
 
+    @property
+    def tokenizer(self):
+        """The tokenizers library's own encoder, loaded when it is first needed."""
+        if self._library is None:
+            self._library = library(self.path)
+        return self._library
+
     def _make(self, part: str) -> bytes:
         if _LATIN.fullmatch(part) and not any(s in part for s in self.special):
             ids = self.merges.encode_ordinary(part)

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomflow.llm.text import mix, shingle_sets
+from atomflow.llm.text import mix, shingle_sets, trim
 from atomflow.llm.tokens import Memory
 
-SAMPLE = 3000
+SAMPLE = 2000
 SAMPLE_CHARS = 8000
 SHORTEST, LONGEST = 4, 7
 #: A feature must occur in so many documents of the sample.
@@ -150,7 +150,7 @@ def learn(texts: Sequence[str], toxic: Sequence[int]) -> Model | None:
     n = np.bincount(toxic, minlength=2)
     if not n.all():
         return None
-    memory = Memory(lambda t: [features(w) for w in _LETTERS.findall(t)])
+    memory = Memory(lambda t: [features(w) for w in _LETTERS.findall(t)], 20_000)  # entries are large
     counts = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):
         counts[label].update({f for t in set(text.lower().split()) for fs in memory[t] for f in fs})
@@ -177,7 +177,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = short.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(short.filter("toxic = 0").orderBy(*order).limit(sample))
     rows = own.filter(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(4 * sample).collect()
-    return learn([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = learn([r["text"] for r in rows], [r["toxic"] for r in rows])
+    trim()
+    return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
@@ -209,5 +211,8 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
         for batch in batches:
             above = model.above(np.array([model.score(t, memory) for t in batch.column(at).to_pylist()]))
             yield batch.filter(pa.array(above[:, 0] < 0.5))
+        memory.clear()
+        memory.old.clear()
+        trim()
 
     return docs.mapInArrow(clean, docs.schema) if model else docs
