@@ -13,13 +13,14 @@ def recursive(spark: SparkSession, seed: DataFrame, step: str, keep: str, levels
     """All rows of a feedback loop, by a recursive query.
 
     step: the select list over r that makes the next row of a row; keep: the condition on r under which it goes on.
-    levels bounds the depth; a deeper loop fails rather than being cut off.
+    levels bounds the depth; a deeper loop fails rather than being cut off. LIMIT ALL lifts Spark's cap on the number of rows
+    (spark.sql.cteRecursionRowLimit, a million by default), so none ends the loop.
     """
     name = f"loop_seed_{uuid.uuid4().hex}"
     seed.createOrReplaceTempView(name)
     cols = ", ".join(seed.columns)
     return spark.sql(
-        f"WITH RECURSIVE r({cols}) MAX RECURSION LEVEL {levels} AS (SELECT {cols} FROM {name} UNION ALL SELECT {step} FROM r WHERE {keep}) SELECT * FROM r"
+        f"WITH RECURSIVE r({cols}) MAX RECURSION LEVEL {levels} AS (SELECT {cols} FROM {name} UNION ALL SELECT {step} FROM r WHERE {keep}) SELECT * FROM r LIMIT ALL"
     )
 
 

@@ -127,6 +127,18 @@ def test_recursion(spark):
     assert [r.fib for r in loops.fibonacci(spark, 9).orderBy("n").collect()] == [0, 1, 1, 2, 3, 5, 8, 13, 21, 34]
 
 
+def test_recursion_has_no_row_cap(spark):
+    start = spark.range(30).select("id", F.col("id").alias("v"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        rows = loops.countdown(spark, start, "v")
+        assert rows.count() == 465 and len(rows.filter("v = 0").collect()) == 30
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    big = loops.countdown(spark, spark.range(60_000).select("id", F.lit(19).alias("v")), "v")
+    assert big.agg(F.count("*"), F.countDistinct("id"), F.sum("v")).first() == (1_200_000, 60_000, 60_000 * 190)
+
+
 def test_two_state_machine(spark):
     def first(row, memory):
         return "second", [(row["v"], 0)]
