@@ -5,22 +5,23 @@ sketch is floor(1 - log_base(m_i)), truncated to 16 bits, where m_i is the least
 exponentially distributed i-th hash values. The registers of a union are the larger ones of its parts, and two sets agree in a
 register with a chance near their Jaccard similarity, so bands of registers serve as buckets.
 
-1. Documents with equal sets are collapsed to the smallest id.
-2. Documents that share a band are candidates. In each bucket the smallest id is compared with all others.
+1. Documents with equal sets are collapsed to one node. Nodes are numbered in the order of their smallest ids.
+2. Nodes that share a band are candidates. In each bucket the smallest node is compared with all others.
    Pairs whose likelihood, jointly over the counts of larger, equal and smaller registers and given both set sizes,
    peaks clearly below the threshold are left out; the rest are confirmed on the full sets.
-3. Links make components. In buckets that still hold several components, every document outside the
+3. Links make components. In buckets that still hold several components, every node outside the
    bucket's largest one is compared with the members of other components, in square blocks inside Python: by
    sketch, then, from the best estimate down to what isn't ruled out, on the full sets, until one member of that component is
-   linked. Only links leave Python. Documents that are in one component already need no further
+   linked. Only links leave Python. Nodes that are in one component already need no further
    comparison, so a group of any number of copies costs a few comparisons each, and no bucket is capped.
 
 With ``miss`` as the bound for the chance that a pair exactly at the threshold shares no band, the band length follows.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than k words, but at least one, has its
-whole sequence as its only member; a null or empty text or one without words has an empty set and links with nothing. Rows that
-repeat an id are one node. A null id is only linked with equal sets. An empty table gives no rows; only the columns for id and
-text are read.
+whole sequence as its only member; a null or empty text or one without words has an empty set and links with nothing. A node
+is a set, not an id: rows that repeat an id but not the set are separate documents, and rows without an id are linked as all others.
+component_id is the smallest id in the component, null if it has none. In each component one row is kept, and with it only those that
+repeat its id (not null) and text. An empty table gives no rows; only the columns for id and text are read.
 """
 
 from __future__ import annotations
@@ -96,9 +97,9 @@ def estimate(greater: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarr
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "sig", "sketch"]
+    names = ["row", "doc_id", "digest", "n", "sig", "sketch"]
     for batch in batches:
-        texts = [t.encode().lower() if t else None for t in batch.column(1).to_pylist()]
+        texts = [t.encode().lower() if t else None for t in batch.column("text").to_pylist()]
         for lo, hi in sliced(texts, 1 << 20):
             sets = shingle_sets(texts[lo:hi], k)
             full = [s for s in sets if len(s)]
@@ -107,7 +108,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             for s in sets:
                 sig.append(np.array([mix(s).sum(), mix(s * np.uint64(0xD6E8FEB86659FD93)).sum()], "<u8").tobytes() if len(s) else None)
                 out.append(next(sketch).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(out, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names[:3]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(out, pa.binary())], names)
     trim()
 
 
@@ -122,7 +123,7 @@ def _bands(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         for i in range(length):
             keys = mix(keys + s[:, i : bands * length : length] + np.uint64(1))
         number = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(number), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "band", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(number), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "band", "node"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         texts = [t.encode().lower() if t else None for t in batch.column(1).to_pylist()]
         for lo, hi in sliced(texts, 1 << 20):
             sets = shingle_sets(texts[lo:hi], k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
     trim()
 
 
@@ -172,7 +173,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, length: int, num: i
         asks = g["asks"].to_numpy().astype(bool)
         if not asks.any() or asks.all():
             continue
-        ids, comp, n = (g[c].to_numpy() for c in ("doc_id", "comp", "n"))
+        ids, comp, n = (g[c].to_numpy() for c in ("node", "comp", "n"))
         outside = g["outside"].to_numpy().astype(bool)
         band = g["band"][0].as_py()
         s = np.frombuffer(b"".join(g["sketch"].to_pylist()), "<u2").reshape(len(ids), REGISTERS)
@@ -206,55 +207,67 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str):
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
         threshold = num / den
         self.least = threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
         self.length = band_length(threshold)
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """doc_id and members (the full set) of the documents with these distinct ids (a small stored table)."""
+        """node and members (the full set) of these distinct nodes (a small stored table)."""
         k = self.k
+        ids = ids.join(self.nodes.select("node", F.col("doc_id").alias("rep"), F.col("digest").alias("own")).hint("merge"), "node")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-        return stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id bigint, members binary"), "sets")
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("own"))).select("node", "text")
+        if self.repeated:
+            texts = texts.dropDuplicates(["node"])
+        return stored(texts.mapInArrow(lambda it: _sets(it, k), "node bigint, members binary"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a stored table) that are links by their full sets."""
         num, den = self.num, self.den
-        sets = self.sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
-        full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
+        sets = self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
+        full = full.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
         return stored(full.select("a", "b", "ma", "mb").mapInArrow(lambda it: _confirmed(it, num, den), "a bigint, b bigint").distinct(), "links")
 
     def run(self) -> DataFrame:
         k, length, least = self.k, self.length, self.least
-        sketches = stored(self.docs.mapInArrow(lambda it: _sketches(it, k), "doc_id bigint, n bigint, sig binary, sketch binary"), "sketches")
-        groups = sketches.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-        own = sketches.alias("s").join(groups.hint("merge"), (F.col("s.sig") == groups["sig"]) & (F.col("s.doc_id") == F.col("rep")))
-        nodes = stored(own.select("s.doc_id", "s.n", "s.sketch"), "nodes")
-        keys = stored(nodes.select("doc_id", "sketch").mapInArrow(lambda it: _bands(it, length), "key bigint, band int, doc_id bigint"), "bands")
-        shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).filter("size > 1")
+        docs = self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "text")
+        sketches = stored(docs.mapInArrow(lambda it: _sketches(it, k), "row bigint, doc_id bigint, digest bigint, n bigint, sig binary, sketch binary"), "sketches")
+        self.repeated = bool(sketches.filter("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).filter("c > 1").take(1))
+        # The row that stands for a set: null ids come last, and only among them rows of one text are told apart.
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"))
+        groups = sketches.filter("n > 0").groupBy("sig").agg(F.min(first).alias("first"), F.min_by(F.struct("n", "sketch"), first).alias("own"))
+        numbered = groups.orderBy("first", "sig").withColumn("node", F.monotonically_increasing_id())
+        self.nodes = nodes = stored(numbered.select("node", "sig", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), "own.n", "own.sketch"), "nodes")
+        keys = stored(nodes.select("node", "sketch").mapInArrow(lambda it: _bands(it, length), "key bigint, band int, node bigint"), "bands")
+        shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
         buckets = stored(keys.join(shared.hint("merge"), "key"), "buckets")
 
-        pairs = buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-        side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).hint("merge")
+        pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).hint("merge")
         tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _likely(it, least), "a bigint, b bigint"), "pairs")
         links = self.confirmed(tested)
         labels = components(links)
         more = self.across(buckets, nodes, labels)
         if more is not None and more.take(1):
             labels = components(links.unionByName(more))
-        whole = sketches.join(groups.hint("merge"), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-        labelled = whole.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-        out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-        return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        tops = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("top"))
+        tops = labels.join(tops.hint("merge"), "component")
+        placed = nodes.select("sig", "node", "first").join(tops.hint("merge"), "node", "left")
+        placed = placed.select("sig", "first", F.when(F.col("component").isNull(), F.col("first.doc_id")).otherwise(F.col("top")).alias("component_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("root"))
+        whole = sketches.join(placed.hint("merge"), "sig", "left")
+        kept = F.col("sig").isNull() | (F.col("root") & (first == F.col("first")))
+        own = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return whole.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), "digest")
 
     def across(self, buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Links across the components of buckets, or None if every bucket is in one component.
 
         A bucket of two was settled when its pair was tested.
         """
-        placed = buckets.filter("size > 2").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-        placed = placed.select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        placed = buckets.filter("size > 2").join(labels.hint("merge"), "node", "left")
+        placed = placed.select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("best"))
         mixed = mixed.filter("comps > 1").select("key", (-F.col("best.back")).alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("best.c")) / BLOCK).alias("ask_blocks"))
@@ -263,12 +276,12 @@ class NearDuplicates:
         if not rows.take(1):
             return None
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-        mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+        mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         every = rows.withColumn("asks", F.lit(False)).withColumn("one", mine("blocks")).withColumn("two", upto("ask_blocks"))
         asking = rows.filter("outside").withColumn("asks", F.lit(True)).withColumn("two", mine("ask_blocks")).withColumn("one", upto("blocks"))
-        both = every.unionByName(asking).select("key", "band", "one", "two", "doc_id", "comp", "outside", "asks")
-        sets = self.sets_of(rows.select("doc_id").distinct())
-        both = both.join(nodes.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
+        both = every.unionByName(asking).select("key", "band", "one", "two", "node", "comp", "outside", "asks")
+        sets = self.sets_of(rows.select("node").distinct())
+        both = both.join(nodes.hint("merge"), "node").join(sets.hint("merge"), "node")
         dealt = both.repartition(shuffle_partitions(self.spark), "key", "one", "two").sortWithinPartitions("key", "one", "two")
         least, length, num, den = self.least, self.length, self.num, self.den
         return stored(dealt.mapInArrow(lambda it: _across(it, least, length, num, den), "a bigint, b bigint").distinct(), "links")
@@ -276,4 +289,12 @@ class NearDuplicates:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links have den * intersection >= num * union."""
-    return NearDuplicates(docs, k, num, den, id_col, text_col).run()
+    return NearDuplicates(docs, k, num, den, id_col, text_col).run().drop("digest")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps, told by id and text."""
+    kept = NearDuplicates(docs, k, num, den, id_col, text_col).run().filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_kept_digest"))
+    return docs.join(kept.hint("merge"), same, "left_semi")

@@ -2,7 +2,7 @@
 
 toxicity: documents whose predicted grade is above 0 go. exact dedup: of texts that are equal but for white space,
 one stays. near dedup: of documents linked on runs of five words at a similarity of 0.8 or more, the one with the smallest id
-stays. repeats: words in passages of 50 words or more that an earlier document has go; the
+stays (ids may repeat or be null: documents are told by id and text). repeats: words in passages of 50 words or more that an earlier document has go; the
 document stays, with its text as it was if nothing is removed. packing: token pieces of the rest in rows of 1024.
 
 All stages but the last return the columns of documents. A document that loses words gets its new
@@ -12,12 +12,11 @@ length in n_chars, if there is such a column.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from atomflow.llm.exact_dedup import kept_rows
 from atomflow.llm.op5 import pack_documents
 from atomflow.llm.scratch import stored
-from atomflow.llm.setsketch import near_duplicates
+from atomflow.llm.setsketch import without_near_copies
 from atomflow.llm.substring import without_repeats
 from atomflow.llm.toxicity import learn_from, without_toxic
 
@@ -35,8 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, k=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return without_near_copies(docs, k=5, num=80, den=100)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

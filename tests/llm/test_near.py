@@ -5,7 +5,7 @@ import pytest
 
 from atomflow.llm import setsketch, vectors
 from atomflow.llm.graph import components
-from atomflow.llm.setsketch import band_length, estimate, merged, near_duplicates, registers_of
+from atomflow.llm.setsketch import band_length, estimate, merged, near_duplicates, registers_of, without_near_copies
 from atomflow.llm.text import shingle_sets
 from atomflow.llm.vectors import near_vectors, recall
 
@@ -63,6 +63,24 @@ def test_documents_without_rows_or_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (4, 4, True), (4, 4, True)]
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    far, base, lone = (["%s%d" % (w, rng.randint(0, 10**6)) for _ in range(60)] for w in "fbl")
+    close = lambda words, i: " ".join([*words[:-1], "z%d" % i])
+    rows = [(3, " ".join(base)), (7, close(base, 1)), (7, " ".join(far)), (7, close(far, 2)), (None, close(base, 3))]
+    rows += [(None, close(lone, i)) for i in range(4)] * 3 + [(8, "one two three four five six")] * 20 + [(None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, lang string")
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "n_shingles", "component_id", "kept"}
+    count = lambda i, c, kept: sum((r.doc_id, r.component_id, r.kept) == (i, c, kept) and r.n_shingles > 0 for r in got)
+    assert [count(3, 3, True), count(7, 3, False), count(None, 3, False), count(7, 7, True), count(7, 7, False)] == [1, 1, 1, 1, 1]
+    assert [count(None, None, True), count(None, None, False), count(8, 8, True)] == [1, 11, 20]
+    kept = without_near_copies(docs.distinct())
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and (3, rows[0][1]) in left and sum(i == 7 for i, _ in left) == 1
+    assert rows[1] not in left and sum(i is None and bool(t) for i, t in left) == 1 and len(left) == 6
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
