@@ -36,10 +36,16 @@ SAMPLE = 2000
 SAMPLE_CHARS = 8000
 SHORTEST, LONGEST = 4, 7
 #: A feature must occur in so many documents of the sample.
-MIN_DOCS = 4
+MIN_DOCS = 2
+#: Features that count as tried are those in so many documents.
+TRIED_DOCS = 4
 #: Features kept for the model: those that tell of toxic texts with a log-likelihood ratio (chi-squared with one degree of
-#: freedom) of at least twice the logarithm of the number of features tried, plus MARGIN; and so many at most.
+#: freedom) of at least twice the logarithm of the number of features tried, plus MARGIN, or what a small sample can give: FLOOR, and one more for each PER_EVIDENCE documents.
+#: So many features at most.
 MARGIN = 1.0
+FLOOR, PER_EVIDENCE = 8.0, 200
+#: Strength of the penalty on squared weights, over the documents of the sample: with little evidence, weights shrink.
+SHRINK = 0.08
 FEATURES = 6000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -155,7 +161,8 @@ def learn(texts: Sequence[str], toxic: Sequence[int]) -> Model | None:
     for text, label in zip(texts, toxic, strict=True):
         counts[label].update({f for t in set(text.lower().split()) for fs in memory[t] for f in fs})
     tried = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= MIN_DOCS]
-    least = 2 * np.log(max(len(tried), 1)) + MARGIN
+    often = sum(counts[0][f] + counts[1][f] >= TRIED_DOCS for f in tried)
+    least = min(2 * np.log(max(often, 1)) + MARGIN, FLOOR + len(texts) / PER_EVIDENCE)
     told = {f: e for f in tried if (e := _evidence(counts[1][f], counts[0][f], n[1], n[0])) >= least}
     telling = [f for f in told if counts[1][f] * n[0] > 3 * counts[0][f] * n[1]]
     known = {f: i for i, f in enumerate(sorted(telling, key=lambda f: (-told[f], f))[:FEATURES])}
@@ -165,7 +172,7 @@ def learn(texts: Sequence[str], toxic: Sequence[int]) -> Model | None:
     grades = np.where(toxic == 1, 1 + ((hits >= middle) & (hits > 0)), 0)
     if grades.max() > 1 and not (grades == 1).any():
         grades = np.minimum(grades, 1)
-    return fit(texts, grades, known)
+    return fit(texts, grades, known, penalty=SHRINK / len(texts))
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from atomflow.llm.tokens import Memory
 from atomflow.llm.toxicity import fit, learn, learn_from, severity, token_features
@@ -47,3 +49,15 @@ def test_query_forms(spark):
     none = learn_from(docs, labels.filter("toxic = 0"))
     assert none is None and {r.expected_severity for r in severity(docs, none).collect()} == {0.0}
     assert severity(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize(("sf", "share"), [("sf0.001", 0.9), ("sf0.01", 0.85)])
+def test_recall_on_small_tables(spark, sf, share):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't there")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    marks = {r.doc_id: r.toxic for r in labels.dropna().collect()}
+    found = [(marks[r.doc_id], r.toxic) for r in severity(docs, learn_from(docs, labels)).collect() if r.doc_id in marks]
+    toxic, clean = [f for t, f in found if t], [f for t, f in found if not t]
+    assert sum(toxic) >= share * len(toxic) and sum(clean) <= 0.02 * len(clean)
