@@ -8,17 +8,18 @@ with one weight vector w for all of them. The expected severity is the sum of P(
 The labels tell toxic from clean only. Grades are made from them: 0 is clean, 1 toxic, and 2 toxic with at least as
 many occurrences of telling words as the median toxic document of the sample.
 
-Fitting takes a bounded sample of labelled documents: those of at most ``SAMPLE_CHARS`` characters, ordered
-by a hash of their id, up to ``SAMPLE`` of either class; the driver fits the model on them. Scoring covers every document and
+Fitting takes a bounded sample of distinct labelled documents of any length: ordered by a hash of their id and text,
+up to ``SAMPLE`` of either class and up to ``SAMPLE_CHARS`` characters on average, but at least one; the driver fits the model on them. Scoring covers every document and
 its whole text.
 
 Defined results: a null text is an empty one and gets the score of a text without features. Of
 several labels of one document the largest counts, null labels not at all. Without toxic and clean labelled documents there is
-no evidence, and every severity is 0. An empty table gives no rows; further columns are ignored.
+no evidence, and every severity is 0; a warning is logged if the labels had both. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from atomflow.llm.text import mix, shingle_sets, trim
 from atomflow.llm.tokens import Memory
 
+log = logging.getLogger("atomflow")
 SAMPLE = 2000
 SAMPLE_CHARS = 8000
 SHORTEST, LONGEST = 4, 7
@@ -180,11 +182,22 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    short = own.filter(F.char_length("text") <= SAMPLE_CHARS).select("doc_id").join(marks, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = short.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(short.filter("toxic = 0").orderBy(*order).limit(sample))
-    rows = own.filter(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(4 * sample).collect()
+    own = own.filter("text is not null").withColumn("hash", F.xxhash64("text"))
+    lengths = own.select("doc_id", "hash", F.char_length("text").alias("chars")).join(marks, "doc_id").distinct()
+    order = [F.xxhash64("doc_id", "hash"), F.col("doc_id"), F.col("hash")]
+    chosen: list[tuple[int, int, int]] = []
+    for label in (1, 0):
+        chars = 0
+        for r in lengths.filter(F.col("toxic") == label).orderBy(*order).limit(sample).collect():
+            if chars and chars + r["chars"] > sample * SAMPLE_CHARS:
+                break
+            chars += r["chars"]
+            chosen.append((r["doc_id"], r["hash"], label))
+    wanted = own.sparkSession.createDataFrame(chosen, "doc_id bigint, hash bigint, toxic int")
+    rows = own.join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).orderBy("doc_id", "text").collect()
     model = learn([r["text"] for r in rows], [r["toxic"] for r in rows])
+    if model is None and marks.select("toxic").distinct().count() == 2:
+        log.warning("the labels have toxic and clean documents, but the %d sampled ones don't: every severity will be 0", len(rows))
     trim()
     return model
 

@@ -61,3 +61,17 @@ def test_recall_on_small_tables(spark, sf, share):
     found = [(marks[r.doc_id], r.toxic) for r in severity(docs, learn_from(docs, labels)).collect() if r.doc_id in marks]
     toxic, clean = [f for t, f in found if t], [f for t, f in found if not t]
     assert sum(toxic) >= share * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_long_and_repeated_documents_are_sampled(spark, caplog):
+    texts, toxic = made(200, 4)
+    schema = "doc_id bigint, text string"
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    long = spark.createDataFrame([(i, t + f" {'ok ' * 3000}") for i, t in enumerate(texts)], schema)
+    rows = {r.doc_id: r.toxic for r in severity(long, learn_from(long, labels)).collect()}
+    assert sum(rows[i] == bool(t) for i, t in enumerate(toxic)) > 180
+    # Copies of one id don't crowd out the others.
+    crowded = spark.createDataFrame([(0, texts[0])] * 2000 + list(enumerate(texts)), schema)
+    assert learn_from(crowded, labels, sample=200) is not None
+    assert not caplog.records
+    assert learn_from(long.filter("doc_id < 0"), labels) is None and "every severity will be 0" in caplog.text
