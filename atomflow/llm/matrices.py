@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomflow.llm.pieces import pieces_of
@@ -136,6 +136,11 @@ def write_matrices(packed: DataFrame, path: str) -> None:
     packed.write.parquet(path)
 
 
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_matrices wrote."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
 def position_ids(cu_seqlens: list[int]) -> np.ndarray:
     """Positions of a row's tokens, from 0 in each segment."""
     return np.concatenate([np.arange(b - a) for a, b in zip(cu_seqlens[:-1], cu_seqlens[1:], strict=True)] or [np.empty(0, int)])

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 
 from atomflow.llm.bpe_chunks import ChunkedBpe, cut_points, encode_documents
-from atomflow.llm.matrices import best_fit_decreasing, packed_matrices, position_ids
+from atomflow.llm.matrices import best_fit_decreasing, packed_matrices, position_ids, read_matrices, write_matrices
 from atomflow.llm.op5 import pack_documents
 from atomflow.llm.packing import intervals, plan
 from atomflow.llm.tokens import ByteBpe, Memory, library
@@ -160,3 +160,20 @@ def test_matrices_lose_nothing(spark):
     for i, t in enumerate(texts):
         assert [x for _, p in sorted(got[i]) for x in p] == [*lib.encode(t or "", add_special_tokens=False).ids, 50256]
     assert packed_matrices(frame(spark, []), BYTE).count() == 0
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    packed = packed_matrices(frame(spark, ["one two three " * 50, "", None, "four"]), BYTE, capacity=64)
+    write_matrices(packed, path)
+    back = read_matrices(spark, path)
+    assert back.columns == packed.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, packed.collect()))
+
+
+def test_matrices_of_the_query_are_written(spark, tmp_path, monkeypatch):
+    from atomflow.llm import op8
+
+    frame(spark, ["one two", "three"]).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(op8, "fresh_path", lambda spark, label: f"file://{tmp_path}/out")
+    rows = op8.op8_token_matrices(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, rows)) and rows
