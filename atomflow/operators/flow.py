@@ -7,9 +7,10 @@ fuses chains of them. Results are defined over (__atom, __seq), never over arriv
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -91,9 +92,12 @@ class Flow:
         return Flow(self.df.alias(name), self.before, self.stage, name)
 
     def logger(self, prefix: str = "") -> Flow:
-        """Logs the plan's columns and forwards every row; counts are observed under the prefix."""
+        """Logs the plan's columns and forwards every row; the count of rows is observed, and logged when the first action ends.
+
+        In a stream the counts of the micro-batches are in the metrics observed under the prefix, for a query listener.
+        """
         log.info("%s%s", prefix, self.df.columns)
-        return self
+        return self._then(lambda df: _counted(df, prefix), "logger")
 
     def nothing(self) -> Flow:
         """Drops every row and keeps the type."""
@@ -206,5 +210,22 @@ class Flow:
         return self._then(lambda df: df.withColumn(column, chosen), "steps")
 
 
+def _counted(df: DataFrame, prefix: str) -> DataFrame:
+    rows = F.count(F.lit(1)).alias("rows")
+    if df.isStreaming:
+        return df.observe(prefix or "rows", rows)
+    seen = Observation()
+    observed = df.observe(seen, rows)
+
+    def wait() -> None:
+        try:
+            log.info("%s%d rows", prefix, seen.get["rows"])
+        except Exception:  # the session ended before any action
+            log.debug("%snot counted", prefix)
+
+    threading.Thread(target=wait, daemon=True).start()
+    return observed
+
+
 def _meta(df: DataFrame) -> list[str]:
     return [c for c in META if c in df.columns]

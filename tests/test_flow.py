@@ -211,3 +211,15 @@ def test_two_applications_play_ping_pong(spark, tmp_path):
 
     out = loops.until_empty(spark.createDataFrame([(8,)], "i bigint"), step)
     assert sorted((r.i for r in out.collect()), reverse=True) == [7, 6, 5, 4, 3, 2, 1]
+
+
+def test_logger_counts_rows(spark, caplog):
+    import time
+
+    with caplog.at_level("INFO", logger="atomflow"):
+        assert len(Flow(spark.range(7)).logger("ids: ").sink().collect()) == 7
+        for _ in range(50):
+            if "ids: 7 rows" in caplog.text:
+                break
+            time.sleep(0.1)
+    assert "ids: 7 rows" in caplog.text
