@@ -6,6 +6,7 @@ The general forms run a Python fold over each key's rows in stream order (``tran
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,21 +44,27 @@ def machine(df: DataFrame, keys: list[str], behaviours: dict[str, Handler], star
 
 
 class MachineProcessor(StatefulProcessor):
-    """The streaming form of machine: the behaviour's name and one integer of memory in the state store."""
+    """The streaming form of machine: the behaviour's name and the whole memory, as JSON, in the state store.
+
+    The memory starts as {"n": 0}. One that JSON doesn't give back as it was (keys other than strings, tuples) raises.
+    """
 
     def __init__(self, behaviours: dict[str, Handler], start: str, columns: list[str], seq: str = SEQ):
         self.behaviours, self.start, self.columns, self.seq = behaviours, start, columns, seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", "behaviour string, memory bigint")
+        self.state = handle.getValueState("machine", "behaviour string, memory string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, number = self.state.get() if self.state.exists() else (self.start, 0)
-        memory, out = {"n": number}, []
+        state, stored = self.state.get() if self.state.exists() else (self.start, '{"n": 0}')
+        memory, out = json.loads(stored), []
         for row in pd.concat(list(rows)).sort_values(self.seq, kind="stable").to_dict("records"):
             state, new = self.behaviours[state](row, memory)
             out += new
-        self.state.update((state, int(memory["n"])))
+        stored = json.dumps(memory, default=lambda x: x.item())
+        if json.loads(stored) != memory:
+            raise ValueError(f"JSON doesn't keep this memory as it is: {memory!r}")
+        self.state.update((state, stored))
         yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:

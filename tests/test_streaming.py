@@ -37,6 +37,23 @@ def test_machine_keeps_its_state_between_atoms(spark, tmp_path):
     assert sorted(rows) == [(0, "even", 1), (1, "odd", 2), (2, "even", 3)]
 
 
+def test_machine_keeps_its_whole_memory_between_atoms(spark, tmp_path):
+    def only(row, memory):
+        memory.setdefault("seen", []).append(row["v"])
+        memory["last"] = f"{memory.get('last', '')}{row['v']}"
+        return "only", [(row["v"], memory["last"], sum(memory["seen"]))]
+
+    source = AtomFiles(spark, str(tmp_path / "in"), "k bigint, v bigint")
+    for v in range(1, 4):
+        source.submit(0, v)
+        source.fuse()
+    processor = MachineProcessor({"only": only}, "only", ["v", "s", "n"], seq="v")
+    out = source.read().groupBy("k").transformWithStateInPandas(processor, "v bigint, s string, n bigint", "Append", "None")
+    rows = []
+    run_atoms(out, lambda df, n: rows.extend(map(tuple, df.collect())), str(tmp_path / "check"))
+    assert sorted(rows) == [(1, "1", 1), (2, "12", 3), (3, "123", 6)]
+
+
 def test_generator_gives_one_atom_per_batch(spark, tmp_path):
     source = GeneratorSource(spark, "v int", lambda atom: [(5 * atom + i,) for i in range(5)] if atom < 2 else None)
     seen = []
