@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,26 @@ def java_hash(text: Column) -> Column:
     return F.when(total >= 2**31, total - 2**32).otherwise(total).cast("int")
 
 
+def hash_code(value) -> int | None:
+    """The 32-bit hash that a JVM gives a value: text, integer, float or boolean; a 32-bit integer is its own. None for all others."""
+    if isinstance(value, bool):
+        return 1231 if value else 1237
+    if isinstance(value, float):
+        bits = struct.unpack(">q", struct.pack(">d", value))[0] & (1 << 64) - 1
+        total = bits ^ bits >> 32
+    elif isinstance(value, int):
+        total = value if -(2**31) <= value < 2**31 else (value & (1 << 64) - 1) ^ (value & (1 << 64) - 1) >> 32
+    elif isinstance(value, str):
+        units = value.encode("utf-16-be")
+        total = 0
+        for at in range(0, len(units), 2):
+            total = total * 31 + (units[at] << 8 | units[at + 1]) & 0xFFFFFFFF
+    else:
+        return None
+    total &= 0xFFFFFFFF
+    return total - 2**32 if total >= 2**31 else total
+
+
 def sampled(by: Column, one_in: int) -> Column:
     """True for one in so many rows, the same ones each time: those whose number is divisible by it after mixing.
 

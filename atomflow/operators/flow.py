@@ -7,19 +7,19 @@ fuses chains of them. Results are defined over (__atom, __seq), never over arriv
 from __future__ import annotations
 
 import logging
+import re
 import threading
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from atomflow.functions import sampled
+from atomflow.operators import keyed
 from atomflow.sources.batch import ATOM, KEY, META, SEQ
 
 log = logging.getLogger("atomflow")
-Expressions = dict[str, Column]
 
 
 class Factory:
@@ -29,14 +29,40 @@ class Factory:
         self.make = make
 
 
-class Flow:
-    """A stream inside a workflow."""
+def _same(df: DataFrame) -> DataFrame:
+    return df
 
-    def __init__(self, df: DataFrame, before: Flow | None = None, stage: Callable[[DataFrame], DataFrame] | None = None, name: str | None = None):
-        self.df, self.before, self.stage, self.name = df, before, stage, name
 
-    def _then(self, stage: Callable[[DataFrame], DataFrame], name: str | None = None) -> Flow:
-        return Flow(stage(self.df), self, stage, name)
+class Flow:
+    """A stream inside a workflow: the flows it takes rows from, the handler of those rows, and what that gives.
+
+    A source takes rows from no flow and a union from several; both hand them on as they are.
+    """
+
+    def __init__(
+        self, df: DataFrame, inputs: tuple[Flow, ...] = (), handler: Callable[[DataFrame], DataFrame] = _same, name: str | None = None, arriving: DataFrame | None = None
+    ):
+        self.df, self.inputs, self.handler, self.name = df, inputs, handler, name
+        self.arriving = df if arriving is None else arriving
+
+    def _then(self, handler: Callable[[DataFrame], DataFrame], name: str | None = None) -> Flow:
+        return Flow(handler(self.df), (self,), handler, name, self.df)
+
+    def _with(self, handler: Callable[[DataFrame], DataFrame]) -> Flow:
+        """The same operator with another handler."""
+        return Flow(handler(self.arriving), self.inputs, handler, self.name, self.arriving)
+
+    def _each(self, change: Callable[[Flow], Flow], done: dict[int, Flow] | None = None) -> Flow:
+        """The same graph with every operator changed, unions too; a flow that is used twice is changed once."""
+        done = {} if done is None else done
+        if id(self) not in done:
+            if not self.inputs:
+                done[id(self)] = self
+            else:
+                inputs = tuple(i._each(change, done) for i in self.inputs)
+                arriving = _united([i.df for i in inputs])
+                done[id(self)] = change(Flow(self.handler(arriving), inputs, self.handler, self.name, arriving))
+        return done[id(self)]
 
     # Row operators
 
@@ -77,9 +103,13 @@ class Flow:
         return self._then(lambda df: df.filter(chosen), "sample")
 
     def key(self, key: Column) -> Flow:
-        """Sets the contextual key; keyed operators partition by it."""
+        """Sets the contextual key: the keyed operators partition by it unless they are given columns."""
         return self._then(lambda df: df.withColumn(KEY, key.cast("bigint")), "key")
 
+    def ranges(self, partitions: int) -> Flow:
+        """Deals the rows into so many ranges of the contextual key; a null key is in the first."""
+        return self._then(lambda df: df.repartitionByRange(partitions, KEY), "ranges")
+
     def check_expected_type(self, schema: str | StructType) -> Flow:
         """Fails when the plan is built if the values have another schema."""
         want = schema if isinstance(schema, StructType) else self.df.sparkSession.createDataFrame([], schema).schema
@@ -89,7 +119,7 @@ class Flow:
         return self
 
     def with_name(self, name: str) -> Flow:
-        return Flow(self.df.alias(name), self.before, self.stage, name)
+        return Flow(self.df.alias(name), self.inputs, self.handler, name, self.arriving)
 
     def logger(self, prefix: str = "") -> Flow:
         """Logs the plan's columns and forwards every row; the count of rows is observed, and logged when the first action ends.
@@ -114,10 +144,8 @@ class Flow:
 
     def union(self, *others: Flow) -> Flow:
         """All rows of all flows, atom by atom."""
-        df = self.df
-        for o in others:
-            df = df.unionByName(o.df)
-        return Flow(df, self, None, "union")
+        df = _united([self.df, *(o.df for o in others)])
+        return Flow(df, (self, *others), _same, "union")
 
     def combine_all_from(self, others: Iterable[Flow], task: Callable[[DataFrame], DataFrame]) -> Flow:
         return self.union(*others).task(task)
@@ -132,72 +160,72 @@ class Flow:
 
     # Hooks
 
-    def with_on_next(self, stage: Callable[[DataFrame], DataFrame]) -> Flow:
-        """Another handler in place of the latest one."""
-        return Flow(stage(self.before.df), self.before, stage, self.name)
+    def with_on_next(self, handler: Callable[[DataFrame], DataFrame]) -> Flow:
+        """Another handler in place of the latest one; behind a union or on a source it gets all their rows."""
+        return self._with(handler)
 
-    def with_on_error(self, column: str, value: Column, fallback: Column) -> Flow:
-        """A value that may fail to be computed (give a try_ expression, null on failure) and what stands for it then."""
-        return self._then(lambda df: df.withColumn(column, F.coalesce(value, fallback)), "on_error")
+    def with_on_error(self, column: str, value: Column, fallback: Column, *given: Column) -> Flow:
+        """A value that may fail to be computed (give a try_ expression, null on failure) and what stands for it then.
 
-    def with_on_atom_complete(self, cumulative: bool = False, **aggregates: Column) -> Flow:
-        """Behind the rows of each atom, one row with aggregates of the atom, or of all atoms up to it.
-
-        aggregates must be sums, counts, minima or maxima of bounded width; missing columns are null. Cumulative ones
-        are sums over the per-atom row, so the window has one row per atom.
+        given: what the value is computed from. Where some of it is null, so is the value, which is no failure; without
+        it every null counts as one.
         """
+        failed = value.isNull()
+        for c in given:
+            failed = failed & c.isNotNull()
+        return self._then(lambda df: df.withColumn(column, F.when(failed, fallback).otherwise(value)), "on_error")
+
+    def with_on_atom_complete(self, cumulative: bool | dict[str, str] = False, atoms: DataFrame | None = None, **aggregates: Column) -> Flow:
+        """Behind the rows of each atom, one row with aggregates of the atom, or of all atoms up to it; missing columns are null.
 
-        def stage(df: DataFrame) -> DataFrame:
-            ends = df.groupBy(ATOM).agg(*[c.alias(n) for n, c in aggregates.items()], F.max(SEQ).alias(SEQ))
-            if cumulative:
-                upto = W.orderBy(ATOM).rowsBetween(W.unboundedPreceding, 0)
-                ends = ends.withColumns({n: F.sum(n).over(upto) for n in aggregates})
+        cumulative: names how the atoms' values of an aggregate are merged (sum, min, max, last); True finds that out for
+        sums, counts, minima and maxima and refuses all others. atoms: a table with all atoms of the stream in __atom; those
+        without rows get a row too.
+        """
+        merges = {n: _merge_of(n, c) for n, c in aggregates.items()} if cumulative is True else cumulative or {}
+
+        def handler(df: DataFrame) -> DataFrame:
+            columns = [c.alias(n) for n, c in aggregates.items()]
+            ends = df.groupBy(ATOM).agg(*columns, F.max(SEQ).alias(SEQ))
+            if atoms is not None:
+                none = df.sparkSession.createDataFrame([], df.schema).agg(*columns).first()
+                calendar = atoms.select(F.col(ATOM).alias("__at")).distinct()
+                ends = calendar.join(ends, F.col("__at").eqNullSafe(F.col(ATOM)), "left")
+                missing = F.col(ATOM).isNull() & F.col("__at").isNotNull()
+                filled = [F.when(missing, F.lit(none[n])).otherwise(F.col(n)).alias(n) for n in aggregates]
+                ends = ends.select(*filled, SEQ, F.col("__at").alias(ATOM))
+            if merges:
+                ends = keyed.running(ends, {n: (op, F.col(n)) for n, op in merges.items()}, [], [ATOM])
             return df.unionByName(ends.withColumn("__end", F.lit(True)), allowMissingColumns=True)
 
-        return self._then(stage, "on_atom_complete")
+        return self._then(handler, "on_atom_complete")
 
     def all_with_on_atom_complete(self, **aggregates: Column) -> Flow:
         """The hook on every operator so far, each seeing its own output."""
-        stages: list[Flow] = []
-        at: Flow | None = self
-        while at is not None and at.stage is not None:
-            stages.append(at)
-            at = at.before
-        flow = at
-        for s in reversed(stages):
-            flow = flow._then(s.stage, s.name).with_on_atom_complete(**aggregates)
-        return flow
+        return self._each(lambda flow: flow.with_on_atom_complete(**aggregates))
 
     def with_on_complete(self, **aggregates: Column) -> Flow:
         """Behind all rows, one row with aggregates of the whole stream."""
 
-        def stage(df: DataFrame) -> DataFrame:
+        def handler(df: DataFrame) -> DataFrame:
             end = df.agg(*[c.alias(n) for n, c in aggregates.items()], F.max(ATOM).alias(ATOM), F.max(SEQ).alias(SEQ))
             return df.unionByName(end, allowMissingColumns=True)
 
-        return self._then(stage, "on_complete")
+        return self._then(handler, "on_complete")
 
     def with_wrapper(self, wrapper: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> Flow:
         """Around advice: the wrapper gets the rows before the latest operator, and that operator."""
-        stage, before = self.stage, self.before
-        return Flow(wrapper(before.df, stage), before, lambda df: wrapper(df, stage), self.name)
+        handler = self.handler
+        return self._with(lambda df: wrapper(df, handler))
 
     def all_with_wrapper(self, wrapper: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> Flow:
         """Around advice on every operator so far."""
-        stages: list[Flow] = []
-        at: Flow | None = self
-        while at is not None and at.stage is not None:
-            stages.append(at)
-            at = at.before
-        flow = at
-        for s in reversed(stages):
-            flow = flow._then(s.stage, s.name).with_wrapper(wrapper)
-        return flow
-
-    def with_and_then(self, stage: Callable[[DataFrame], DataFrame]) -> Flow:
+        return self._each(lambda flow: flow.with_wrapper(wrapper))
+
+    def with_and_then(self, handler: Callable[[DataFrame], DataFrame]) -> Flow:
         """Fuses another operator behind the latest one."""
-        first = self.stage
-        return Flow(stage(self.df), self.before, lambda df: stage(first(df)), self.name)
+        first = self.handler
+        return Flow(handler(self.df), self.inputs, lambda df: handler(first(df)), self.name, self.arriving)
 
     def steps(self, column: str, behaviours: Sequence[tuple[Column, int]]) -> Flow:
         """Rotating behaviour: the first expression holds for so many atoms, then the next, and so on, in a cycle."""
@@ -227,5 +255,21 @@ def _counted(df: DataFrame, prefix: str) -> DataFrame:
     return observed
 
 
+def _united(parts: Sequence[DataFrame]) -> DataFrame:
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return df
+
+
+def _merge_of(name: str, aggregate: Column) -> str:
+    """How values of an aggregate are merged, by its outermost function."""
+    found = re.match(r"Column<'(\w+)\(", str(aggregate))
+    merge = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}.get(found[1].lower() if found else "")
+    if merge is None:
+        raise ValueError(f"say how the atoms' values of {name} are merged: cumulative={{{name!r}: ...}}")
+    return merge
+
+
 def _meta(df: DataFrame) -> list[str]:
     return [c for c in META if c in df.columns]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atomflow.functions import hash_code
+
 ATOM, SEQ, KEY = "__atom", "__seq", "__key"
 META = (ATOM, SEQ, KEY)
 
@@ -22,7 +24,8 @@ def _schema(value_type: str | T.DataType) -> T.StructType:
 def from_lists(spark: SparkSession, atoms: Iterable[Iterable], value_type: str | T.DataType = "bigint", keys: Iterable[Iterable[int]] | None = None) -> DataFrame:
     """One atom per inner list; with keys, an inner pair of lists ends with the shorter one.
 
-    Without keys, an integer is its own key and any other value has a null one (group by the value instead).
+    Without keys, a value's key is the hash that a JVM gives it (functions.hash_code): an integer is its own, and what is
+    neither text, number nor boolean has a null key.
     """
     schema = _schema(value_type)
     wide = len(schema.fields) > 4 or schema.fields[0].name != "v"
@@ -30,7 +33,7 @@ def from_lists(spark: SparkSession, atoms: Iterable[Iterable], value_type: str |
     for atom, (values, own) in enumerate(zip_longest(atoms, keys or (), fillvalue=None)):
         if values is None or (keys is not None and own is None):
             break
-        pairs = zip(values, own, strict=False) if own is not None else ((v, v if isinstance(v, int) and not isinstance(v, bool) else None) for v in values)
+        pairs = zip(values, own, strict=False) if own is not None else ((v, hash_code(v)) for v in values)
         for v, k in pairs:
             rows.append((*(v if wide else (v,)), atom, seq, k))
             seq += 1
