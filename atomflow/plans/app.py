@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from atomflow.operators.flow import Flow
+from atomflow.operators.machines import serve
 from atomflow.operators.routing import Sequencer, Splitter
 
 KINDS = ("generators", "workflows", "sequencers", "splitters", "services")
@@ -43,7 +44,7 @@ class Registry:
     def stream(self, path: str) -> DataFrame:
         """The stream at a path; for a sequencer, what it merges now."""
         found = self.get(path)
-        return found.merged() if isinstance(found, Sequencer) else found.df if isinstance(found, Flow) else found
+        return found.numbered() if isinstance(found, Sequencer) else found.df if isinstance(found, Flow) else found
 
     def _add(self, path: str, node: object) -> None:
         if path in self.nodes:
@@ -64,6 +65,10 @@ class Service:
         self.repliers.append(f)
         return f
 
+    def replier_of(self, events: DataFrame, keys: list[str], on_event: Callable, on_request: Callable, schema: str) -> None:
+        """A replier whose events and requests share the memory of their key; see operators.machines.serve."""
+        self.repliers.append(lambda requests: serve(events, requests, keys, on_event, on_request, schema))
+
     def ask(self, requests: DataFrame) -> DataFrame:
         """The requests with their replies."""
         if len(self.repliers) != 1:
@@ -105,7 +110,7 @@ class App:
     def workflow(self, source: DataFrame | Sequencer, build: Callable[[Flow], Flow | list[Flow]], name: str | None = None) -> DataFrame:
         """A one-input, one-output workflow; if build returns several flows, they share the sink and are united."""
         path = self._path("workflows", name)
-        flow = build(Flow(source.merged() if isinstance(source, Sequencer) else source))
+        flow = build(Flow(source.numbered() if isinstance(source, Sequencer) else source))
         flows = flow if isinstance(flow, list) else [flow]
         out = flows[0].union(*flows[1:]).sink() if len(flows) > 1 else flows[0].sink()
         self.nodes[path] = out
