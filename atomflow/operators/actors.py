@@ -1,14 +1,16 @@
 """Actors over dataflows: messages are rows, behaviours are registered by name, rounds run until no message is left.
 
-Each round delivers all messages at once: the actors that got some are grouped by their id, their state is joined, and the
-behaviour folds the messages in order and returns new states and new messages. A new actor's id is a hash of its
-creator's id and an ordinal, so reruns give the same ids.
+Each round delivers all messages at once: they are dealt with their actors' states into groups of some thousand actors, and the
+behaviour of each actor folds its messages in order and gives a new state and new messages. An actor gets its messages by
+(round in which they were sent, sender, the sender's running number), so what one actor sends to another arrives in the order in which it was sent. A
+new actor's id is a hash of its creator's id and an ordinal, so reruns give the same ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,14 +18,53 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGE = "target bigint, seq bigint, body string"
-_STATE = "target bigint, behaviour string, memory string"
+log = logging.getLogger("atomflow")
 STOPPED = "stopped"
+#: Messages and states that one group handles, about.
+GROUP = 20_000
+#: Rounds after which changed states are merged into the table of all states.
+COMPACT = 8
+#: Sender of the first messages and of the message that starts a new actor, which comes before all others.
+OUTSIDE = -1
+_START = "__start"
+_STEP = "kind string, target bigint, round int, sender bigint, seq bigint, body string, behaviour string, memory string"
+
+
+@dataclass
+class Value:
+    """A typed field of an actor's state."""
+
+    memory: dict
+    name: str
+    default: object = None
+
+    def get(self):
+        return self.memory.get(self.name, self.default)
+
+    def set(self, value) -> None:
+        self.memory[self.name] = value
+
+
+@dataclass
+class MapState:
+    """A field of an actor's state that holds values by text keys."""
+
+    memory: dict
+    name: str
+
+    def get(self, key: str, default=None):
+        return self.memory.get(self.name, {}).get(key, default)
+
+    def set(self, key: str, value) -> None:
+        self.memory.setdefault(self.name, {})[key] = value
+
+    def remove(self, key: str) -> None:
+        self.memory.get(self.name, {}).pop(key, None)
 
 
 @dataclass
 class Context:
-    """What a behaviour can do while it handles a message."""
+    """What a behaviour can do while it handles a message. memory is the raw state; value and map are typed fields of it."""
 
     self_id: int
     memory: dict
@@ -46,59 +87,112 @@ class Context:
     def emit(self, body: dict) -> None:
         self.out.append(body)
 
+    def value(self, name: str, default=None) -> Value:
+        return Value(self.memory, name, default)
+
+    def map(self, name: str) -> MapState:
+        return MapState(self.memory, name)
+
+    def log(self, text: str) -> None:
+        log.info("actor %d: %s", self.self_id, text)
+
 
 #: A behaviour handles one message and returns the name of the next behaviour, or None to stay the same.
 Behaviour = Callable[[Context, dict], str | None]
 
 
-def _deliver(behaviours: dict[str, Behaviour]):
-    def fold(key, messages: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+def _deliver(behaviours: dict[str, Behaviour], starts: dict[str, Callable[[Context], str | None]], turn: int):
+    def handled(target: int, behaviour: str, memory: dict, bodies: list[str]) -> list[tuple]:
         out: list[tuple] = []
-        if states.empty:
-            # Not created yet: keep the messages for the next round.
-            out += [("message", t, s, b, None, None) for t, s, b in zip(messages["target"], messages["seq"], messages["body"], strict=True)]
-            return pd.DataFrame(out, columns=["kind", "target", "seq", "body", "behaviour", "memory"])
-        target = int(states["target"].iloc[0])
-        behaviour, memory = states["behaviour"].iloc[0], json.loads(states["memory"].iloc[0])
-        for body in messages.sort_values(["seq", "body"])["body"]:
+        number = 0
+        for nr, body in enumerate(bodies):
             if behaviour == STOPPED:
-                continue  # messages to a stopped actor are dropped
-            c = Context(target, memory)
-            behaviour = behaviours[behaviour](c, json.loads(body)) or behaviour
+                out.append(("dropped", target, turn, None, nr, body, None, None))
+                continue
+            c, message = Context(target, memory), json.loads(body)
+            behaviour = (starts[behaviour](c) if _START in message else behaviours[behaviour](c, message)) or behaviour
             memory["_made"] = memory.get("_made", 0) + c.made
-            out += [("message", t, i, json.dumps(b, sort_keys=True), None, None) for i, (t, b) in enumerate(c.sent)]
-            out += [("state", r, 0, None, n, json.dumps(m)) for r, n, m in c.created]
-            out += [("out", target, 0, json.dumps(b, sort_keys=True), None, None) for b in c.out]
-        out.append(("state", target, 0, None, behaviour, json.dumps(memory)))
-        return pd.DataFrame(out, columns=["kind", "target", "seq", "body", "behaviour", "memory"])
+            for to, b in c.sent:
+                out.append(("message", to, turn, target, number, json.dumps(b, sort_keys=True), None, None))
+                number += 1
+            for ref, name, own in c.created:
+                out.append(("state", ref, turn, None, None, None, name, json.dumps(own)))
+                if name in starts:
+                    out.append(("message", ref, turn, OUTSIDE, 0, json.dumps({_START: True}), None, None))
+            out += [("out", target, turn, None, None, json.dumps(b, sort_keys=True), None, None) for b in c.out]
+        out.append(("state", target, turn, None, None, None, behaviour, json.dumps(memory)))
+        return out
+
+    def fold(key, messages: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        known = {t: (b, m) for t, b, m in zip(states["target"], states["behaviour"], states["memory"], strict=True)}
+        messages = messages.sort_values(["target", "round", "sender", "seq"])
+        out: list[tuple] = []
+        cols = [messages[c].tolist() for c in ("target", "round", "sender", "seq", "body")]
+        at, n = 0, len(messages)
+        while at < n:
+            target, end = cols[0][at], at
+            while end < n and cols[0][end] == target:
+                end += 1
+            if target in known:
+                behaviour, memory = known[target]
+                out += handled(target, behaviour, json.loads(memory), cols[4][at:end])
+            else:  # not created yet: the messages wait for the next round
+                out += [("message", target, r, s, q, b, None, None) for r, s, q, b in zip(*(c[at:end] for c in cols[1:]), strict=True)]
+            at = end
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _STEP.split(", ")]).astype({"round": "Int32", "sender": "Int64", "seq": "Int64"})
 
     return fold
 
 
 def run_actors(
-    spark: SparkSession, behaviours: dict[str, Behaviour], actors: list[tuple[int, str, dict]], messages: list[tuple[int, dict]], rounds: int = 1000
-) -> DataFrame:
+    spark: SparkSession, behaviours: dict[str, Behaviour], actors: DataFrame | list[tuple[int, str, dict]], messages: DataFrame | list[tuple[int, dict]],
+    rounds: int = 1000, starts: dict[str, Callable[[Context], str | None]] | None = None, counts: dict[str, int] | None = None,
+) -> DataFrame:
     """Runs actors until no message is left; returns what they emitted as (target, body).
 
-    Messages to an actor that doesn't exist yet wait for it; if only such messages are left, the run fails.
+    actors and messages are lists, or tables (target, behaviour, memory) and (target, seq, body) with memories and bodies as JSON, whose
+    seq orders the messages of an actor. starts: what a behaviour does once, when an actor with it is created by another one, before its first
+    message. Messages to an actor that doesn't exist yet wait for it; if only such messages are left, the run fails. Messages to a
+    stopped actor are dropped; counts, if given, gets their number, that of the rounds and of the messages handled.
+
+    Only the states of actors that got messages are read and written in a round; every COMPACT rounds they are merged into the table of all.
     """
-    states = spark.createDataFrame([(r, b, json.dumps(m)) for r, b, m in actors], _STATE).checkpoint()
-    queue = spark.createDataFrame([(t, i, json.dumps(b, sort_keys=True)) for i, (t, b) in enumerate(messages)], MESSAGE).checkpoint()
+    starts, counts = starts or {}, {} if counts is None else counts
+    counts.update(dropped=0, rounds=0, messages=0)
+    if not isinstance(actors, DataFrame):
+        actors = spark.createDataFrame([(r, b, json.dumps(m)) for r, b, m in actors], "target bigint, behaviour string, memory string")
+    if not isinstance(messages, DataFrame):
+        messages = spark.createDataFrame([(t, i, json.dumps(b, sort_keys=True)) for i, (t, b) in enumerate(messages)], "target bigint, seq bigint, body string")
+    states = actors.select("target", "behaviour", "memory", F.lit(-1).alias("round")).checkpoint()
+    queue = messages.select("target", F.lit(-1).alias("round"), F.lit(OUTSIDE).cast("bigint").alias("sender"), "seq", "body").checkpoint()
+    left = queue.count()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     outputs: list[DataFrame] = []
-    schema = "kind string, target bigint, seq bigint, body string, behaviour string, memory string"
-    for _ in range(rounds):
-        if queue.isEmpty():
+    latest = F.max_by(F.struct("behaviour", "memory"), "round").alias("s")
+    for turn in range(rounds):
+        if not left:
             break
-        asked = states.join(queue.select("target").distinct(), "target", "left_semi")
-        step = queue.groupBy("target").cogroup(asked.groupBy("target")).applyInPandas(_deliver(behaviours), schema).checkpoint()
-        new = step.filter("kind = 'state'").select("target", "behaviour", "memory")
-        if new.isEmpty():
+        groups = max(partitions, -(-left // GROUP))
+        dealt = lambda df, n=groups: df.withColumn("__group", F.pmod(F.xxhash64("target"), F.lit(n))).groupBy("__group")
+        asked = states.join(queue.select("target").distinct(), "target", "left_semi").groupBy("target").agg(latest).select(F.col("target").alias("target"), "s.*")
+        step = dealt(queue).cogroup(dealt(asked)).applyInPandas(_deliver(behaviours, starts, turn), _STEP).checkpoint()
+        found = {r["kind"]: r["count"] for r in step.groupBy("kind").count().collect()}  # five kinds at most
+        if not found.get("state"):
             raise RuntimeError("messages are left for actors that nobody created")
-        states = states.join(new.select("target"), "target", "left_anti").unionByName(new).checkpoint()
-        outputs.append(step.filter("kind = 'out'").select("target", "body"))
-        queue = step.filter("kind = 'message'").select("target", "seq", "body")
+        states = states.unionByName(step.filter("kind = 'state'").select("target", "behaviour", "memory", "round"))
+        if turn % COMPACT == COMPACT - 1:
+            states = states.groupBy("target").agg(latest, F.max("round").alias("round")).select("target", "s.*", "round").checkpoint()
+        if found.get("out"):
+            outputs.append(step.filter("kind = 'out'").select("target", "body"))
+        queue = step.filter("kind = 'message'").select("target", "round", "sender", "seq", "body")
+        counts["messages"] += left
+        counts["dropped"] += found.get("dropped", 0)
+        counts["rounds"] += 1
+        left = found.get("message", 0)
     else:
         raise RuntimeError(f"messages were left after {rounds} rounds")
+    if counts["dropped"]:
+        log.warning("%d messages to stopped actors were dropped", counts["dropped"])
     total = spark.createDataFrame([], "target bigint, body string")
     for o in outputs:
         total = total.unionByName(o)

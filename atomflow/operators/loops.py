@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,32 @@ def countdown(spark: SparkSession, start: DataFrame, value: str, step: int = 1,
     return recursive(spark, cols, ", ".join([*others, f"{value} - {step}"]), f"{value} >= {step}", levels)
 
 
+def ask_tree(
+    requests: DataFrame, key: list[str], leaf: Column, value: Column, asks: Column, combine: Callable[[str], Column], levels: int = 100
+) -> DataFrame:
+    """Requests that ask several others, await them all and reply with what they combine to; the asked ones do the same.
+
+    key tells the requests apart; leaf: which requests are answered at once, with value; asks: the requests that any other makes, an
+    array of structs with all columns but the key; combine: an aggregate over the replies, given their column's name.
+    Returns the key, the reply and calls, the number of requests made for it, itself included. All requests of a level are handled together, down
+    to the leaves and up again, each level checkpointed; a tree deeper than levels fails.
+    """
+    fields = [c for c in requests.columns if c not in key]
+    rows = requests.withColumn("__path", F.lit("")).checkpoint()
+    down: list[DataFrame] = []
+    while not rows.isEmpty():
+        if len(down) == levels:
+            raise RuntimeError(f"requests were still asking after {levels} levels")
+        down.append(rows)
+        asked = rows.filter(~leaf).select(*key, "__path", F.posexplode(asks).alias("__nr", "__ask"))
+        path = F.concat("__path", F.lit("/"), F.col("__nr").cast("string"))
+        rows = asked.select(*key, *[F.col("__ask")[c].alias(c) for c in fields], path.alias("__path")).checkpoint()
+    up: DataFrame | None = None
+    for rows in reversed(down):
+        own = rows.filter(leaf).select(*key, "__path", value.alias("reply"), F.lit(1).cast("bigint").alias("calls"))
+        if up is not None:
+            parent = F.regexp_replace("__path", "/[0-9]+$", "")
+            told = up.withColumn("__path", parent).groupBy(*key, "__path").agg(combine("reply").alias("reply"), (F.sum("calls") + 1).alias("calls"))
+            own = own.unionByName(told)
+        up = own.checkpoint()
+    return requests.select(*key, value.alias("reply"), F.lit(1).cast("bigint").alias("calls")).limit(0) if up is None else up.drop("__path")

@@ -45,6 +45,19 @@ class Runtime:
         """Whether some query is active and has work."""
         return any(q.isActive and (q.status["isDataAvailable"] or q.status["isTriggerActive"]) for q in self.queries)
 
+    def step(self, seconds: float = 60.0) -> bool:
+        """Waits until some query has handled one more atom; False if all were up to date already, or nothing came in that time."""
+        seen = [q.lastProgress["batchId"] if q.lastProgress else -1 for q in self.queries]
+        end = time.time() + seconds
+        while time.time() < end:
+            for q, before in zip(self.queries, seen, strict=True):
+                if any(p["batchId"] > before and p["numInputRows"] for p in q.recentProgress):
+                    return True
+            if not self.can_step() and all(q.lastProgress or not q.isActive for q in self.queries):
+                return False
+            time.sleep(0.02)
+        return False
+
     def step_until_complete(self) -> None:
         """Waits until every query has handled all that its source has now."""
         for q in self.queries:
