@@ -206,7 +206,7 @@ def q_on_error(spark, sf_dir):
     """Values that may fail have a fallback; the latest handler is replaced by another."""
     rows = Flow(_events(spark, sf_dir)).with_columns(x=F.lit(0))
     rows = rows.with_on_next(lambda df: df.withColumn("x", F.when(F.col("event_type") == "purchase", F.col("event_id") % 7).otherwise(0)))
-    rows = rows.with_on_error("k", F.get_json_object("props", "$.k").try_cast("int"), F.lit(None).cast("int"))
+    rows = rows.with_on_error("k", F.get_json_object("props", "$.k").try_cast("int"), F.lit(None).cast("int"), F.col("props"))
     return rows.df.select("event_id", "x", "k")
 
 
@@ -403,7 +403,19 @@ def q_cart_checkout(spark, sf_dir):
     return out.filter("checkout IS NOT NULL").drop("period")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (
+         SELECT user_id // 2 AS bank, event_id AS saga, user_id % 2 AS side, CAST(round(value * 100) AS BIGINT) % 50 AS amount, event_type = 'purchase' AS takes,
+                row_number() OVER (PARTITION BY user_id // 2 ORDER BY event_id) AS nr FROM events),
+       r AS (
+         SELECT DISTINCT bank, 0::BIGINT AS nr, 0::BIGINT AS b0, 0::BIGINT AS b1, NULL::BIGINT AS saga, true AS success FROM o
+         UNION ALL
+         SELECT bank, nr, CASE WHEN NOT ok THEN b0 WHEN side = 0 OR NOT takes THEN b0 + amount ELSE b0 - amount END,
+                CASE WHEN NOT ok THEN b1 WHEN side = 1 OR NOT takes THEN b1 + amount ELSE b1 - amount END, saga, ok
+         FROM (SELECT o.*, r.b0, r.b1, NOT (o.takes AND CASE WHEN o.side = 0 THEN r.b1 ELSE r.b0 END < o.amount) AS ok
+               FROM r JOIN o ON o.bank = r.bank AND o.nr = r.nr + 1))
+       SELECT saga, success FROM r WHERE saga IS NOT NULL"""
+)
 def q_bank_saga(spark, sf_dir):
     """All-or-nothing transactions between the two accounts of each pair of users, in stream order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -417,21 +429,56 @@ def q_bank_saga(spark, sf_dir):
     return machines.sagas(rows.select("bank", "saga", (F.col("saga") * 2 + F.col("o.i")).alias("__seq"), "o.kind", "o.account", "amount"), ["bank"])
 
 
-@query("SELECT 10946::BIGINT AS fib")
-def q_actor_fib(spark, sf_dir):
-    """Fibonacci of 21 by actors that pass a pair around."""
+_TREE = """WITH RECURSIVE r AS (
+  SELECT event_id, (event_id % {mod})::BIGINT AS n FROM events WHERE event_type = '{kind}'
+  UNION ALL SELECT event_id, n - d FROM r, (VALUES (1), (2)) t(d) WHERE n >= 2)
+SELECT event_id, sum(CASE WHEN n < 2 THEN n ELSE 0 END)::BIGINT AS fib, count(*) AS calls FROM r GROUP BY 1"""
+
+
+@query(_TREE.format(mod=8, kind="signup"))
+def q_recursive_tree(spark, sf_dir):
+    """Fibonacci numbers by requests that ask two others and await both, as a tree of requests for every signup."""
+    n = F.col("n")
+    start = _table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", (F.col("event_id") % 8).cast("bigint").alias("n"))
+    _checkpoints(spark)
+    asks = F.array(F.struct((n - 1).alias("n")), F.struct((n - 2).alias("n")))
+    return loops.ask_tree(start, ["event_id"], n < 2, n, asks, lambda r: F.sum(r)).withColumnRenamed("reply", "fib")
 
-    def walker(c: Context, m: dict) -> None:
-        if m["n"] == 0:
-            c.emit({"fib": m["a"]})
-            return
-        for _ in range(7):  # a few steps to a message
-            m = {"n": m["n"] - 1, "a": m["b"], "b": m["a"] + m["b"]}
-        c.send(c.create("walker"), m)
+
+@query("SELECT event_id, fib FROM (" + _TREE.format(mod=6, kind="error") + ")")
+def q_actor_fib(spark, sf_dir):
+    """Fibonacci numbers by actors: for every error a tree with an actor for each call, which asks two more and adds up their replies."""
+
+    def call(c: Context, m: dict) -> str | None:
+        if "n" in m and m["n"] >= 2:
+            c.value("asker").set(m["asker"])
+            for less in (1, 2):
+                c.send(c.create("call"), {"n": m["n"] - less, "asker": c.self_id})
+            return None
+        if "n" in m:
+            c.send(m["asker"], {"fib": m["n"]})
+            return "stopped"
+        total, waiting = c.value("total", 0), c.value("waiting", 2)
+        total.set(total.get() + m["fib"])
+        waiting.set(waiting.get() - 1)
+        if waiting.get():
+            return None
+        c.send(c.value("asker").get(), {"fib": total.get()})
+        return "stopped"
+
+    def root(c: Context, m: dict) -> str | None:
+        if "n" in m:
+            c.send(c.create("call"), {"n": m["n"], "asker": c.self_id})
+            return None
+        c.emit({"fib": m["fib"]})
+        return "stopped"
 
     _checkpoints(spark)
-    out = run_actors(spark, {"walker": walker}, [(1, "walker", {})], [(1, {"n": 21, "a": 0, "b": 1})])
-    return out.select(field_of("body", "fib").alias("fib"))
+    seeds = _table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("event_id").alias("target"), (F.col("event_id") % 6).alias("n"))
+    actors = seeds.select("target", F.lit("root").alias("behaviour"), F.lit("{}").alias("memory"))
+    messages = seeds.select("target", F.lit(0).cast("bigint").alias("seq"), F.to_json(F.struct("n")).alias("body"))
+    out = run_actors(spark, {"call": call, "root": root}, actors, messages)
+    return out.select(F.col("target").alias("event_id"), field_of("body", "fib").alias("fib"))
 
 
 @query("SELECT item_id, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INTEGER AS hash FROM (SELECT item_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM benchmark)")
@@ -441,9 +488,141 @@ def q_java_hash(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", java_hash(letters).alias("hash"))
 
 
+_PRICE = "CAST(round(value * 100) AS BIGINT)"
+
+
+@query(
+    f"""SELECT event_id, count(*) OVER w AS n, min({_PRICE}) OVER w AS least, max({_PRICE}) OVER w AS most,
+          last_value(CASE WHEN value < 50 THEN event_id END IGNORE NULLS) OVER w AS small, coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), -1) AS previous,
+          coalesce(last_value(CASE WHEN user_id % 3 = 0 THEN user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS state
+        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def q_running_split(spark, sf_dir):
+    """Count, least, most, last value, previous value and machine state over five keys that hold all rows, in blocks of the stream."""
+    price = cents(F.col("value"))
+    rows = _events(spark, sf_dir).select("event_id", "event_type", "user_id", "value", "__seq")
+    values = {
+        "n": ("sum", F.lit(1).cast("bigint")), "least": ("min", price), "most": ("max", price), "small": ("last", F.when(F.col("value") < 50, F.col("event_id"))),
+    }
+    rows = keyed.running(rows, values, ["event_type"], block=F.floor(F.col("__seq") / 1000))
+    rows = keyed.previous(rows, ["event_type"], "user_id", -1, split=True)
+    rows = machines.reset_machine(rows, ["event_type"], F.when(F.col("user_id") % 3 == 0, F.col("user_id")), -1, split=True)
+    return rows.select("event_id", "n", "least", "most", "small", "previous", "state")
+
+
+@query(
+    f"""SELECT event_id, sum(CASE WHEN event_id % 100 >= 5 THEN {_PRICE} END) OVER (PARTITION BY nullif(event_type, 'view') ORDER BY event_id)::BIGINT AS total FROM events"""
+)
+def q_running_sum_null_keys(spark, sf_dir):
+    """Running sums of hot keys, one of which is null, where every atom begins with null values."""
+    rows = _events(spark, sf_dir).withColumn("k", F.nullif("event_type", F.lit("view")))
+    return keyed.running_sum_salted(rows, ["k"], F.when(F.col("event_id") % 100 >= 5, cents(F.col("value")))).select("event_id", "total")
+
+
+@query("SELECT event_id, user_id % 10 AS k, count(*) OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events")
+def q_key_default(spark, sf_dir):
+    """A contextual key, by which the keyed operators behind it partition, dealt by ranges first."""
+    rows = Flow(_events(spark, sf_dir)).key(F.col("user_id") % 10).ranges(4).processor(lambda df: keyed.running_count(df, None))
+    return rows.df.select("event_id", F.col("__key").alias("k"), "n")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 * (event_id % 100) + 1 ELSE 2 * (event_id % 100 + 10) + 1 END AS x FROM events
+       UNION ALL SELECT event_id, event_id % 100 + 7 FROM events"""
+)
+def q_union_hooks(spark, sf_dir):
+    """Hooks behind a union, on a source and on every operator: no flow's rows get lost."""
+    rows = Flow(_events(spark, sf_dir).select("event_id", (F.col("event_id") % 100).alias("x")))
+    even, odd = rows.split(F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1)
+    both = even.union(odd.with_columns(x=F.col("x") + 10)).with_on_next(lambda df: df.withColumn("x", 2 * F.col("x")))
+    both = both.with_wrapper(lambda df, run: run(df).withColumn("x", F.col("x") + 1))
+    source = rows.with_on_next(lambda df: df.withColumn("x", F.col("x") + 7))
+    return both.union(source).all_with_wrapper(lambda df, run: run(df)).df
+
+
+@query(
+    """SELECT event_id, dense_rank() OVER (ORDER BY event_id // 100, i) - 1 AS atom, row_number() OVER (ORDER BY event_id // 100, i, event_id) - 1 AS seq,
+         row_number() OVER (ORDER BY i, event_id) - 1 AS behind
+       FROM (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS i FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
+)
+def q_sequencer_order(spark, sf_dir):
+    """The atoms and numbers of merged streams, atom by atom and input after input."""
+    events = _events(spark, sf_dir).select("event_id", "__atom", "__seq")
+    events = events.join(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").repartition(5)
+    parts = events.filter(F.col("event_type").isin("view", "click")), events.filter("event_type = 'purchase'")
+    one = Sequencer(*parts).numbered().select("event_id", F.col("__atom").alias("atom"), F.col("__seq").alias("seq"))
+    other = Sequencer(*parts, policy=Sequencer.ONE_AFTER_ANOTHER).numbered()
+    return one.join(other.select("event_id", F.col("__seq").alias("behind")), "event_id")
+
+
+@query(
+    f"""SELECT a AS atom, max(m) OVER (ORDER BY a) AS top, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (ORDER BY a)::BIGINT AS total
+        FROM (SELECT DISTINCT event_id // 100 AS a FROM events) LEFT JOIN
+             (SELECT event_id // 100 AS a, max({_PRICE}) AS m, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1) USING (a)"""
+)
+def q_atom_ends(spark, sf_dir):
+    """Ends of all atoms of one user's events, those without rows too: their number, and maximum and number up to there."""
+    events = _events(spark, sf_dir)
+    own = Flow(events.filter("user_id = 7").select("__atom", "__seq", cents(F.col("value")).alias("price")))
+    out = own.with_on_atom_complete(cumulative={"top": "max", "total": "sum"}, atoms=events, top=F.max("price"), n=F.count("*"), total=F.count("*"))
+    return out.df.filter("__end").select(F.col("__atom").alias("atom"), "top", "n", "total")
+
+
+@query(
+    """SELECT event_id, released, size FROM (
+         SELECT event_id, event_type, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS released,
+                row_number() OVER (PARTITION BY user_id, p ORDER BY event_id) AS size
+         FROM (SELECT *, count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+               FROM events WHERE event_type IN ('click', 'purchase'))) WHERE event_type = 'click' AND released IS NOT NULL"""
+)
+def q_stash_general(spark, sf_dir):
+    """Clicks are stashed until the user's next purchase, which unstashes them all; each with its place in the stash."""
+
+    def open_(row: dict, memory: dict, stash: machines.Stash) -> tuple[str, list[tuple]]:
+        if row["event_type"] == "purchase":
+            memory["at"] = row["event_id"]
+            out = stash.unstash_all()
+            memory["at"] = None
+            return "open", out
+        if memory.get("at") is None:
+            stash.stash({**row, "place": stash.size() + 1})
+            return "open", []
+        return "open", [(row["event_id"], memory["at"], row["place"])]
+
+    rows = _events(spark, sf_dir).filter("event_type IN ('click', 'purchase')").select("event_id", "user_id", "event_type", "__seq")
+    return machines.machine(rows, ["user_id"], {"open": open_}, "open", "event_id bigint, released bigint, size bigint", stash=True)
+
+
+@query(
+    """SELECT event_id, total, asked FROM (
+         SELECT event_id, event_type, coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) END) OVER w, 0)::BIGINT AS total,
+                sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER w::BIGINT AS asked
+         FROM events WHERE event_type IN ('purchase', 'view')
+         WINDOW w AS (PARTITION BY user_id ORDER BY event_id // 100, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id)) WHERE event_type = 'view'"""
+)
+def q_service_shared_state(spark, sf_dir):
+    """A replier whose purchases and requests share a user's memory: the total, and how often it was asked for."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", cents(F.col("value")).alias("price"), "__atom", "__seq")
+
+    def on_event(row: dict, memory: dict) -> None:
+        memory["total"] = memory.get("total", 0) + row["price"]
+
+    def on_request(row: dict, memory: dict) -> list[tuple]:
+        memory["asked"] = memory.get("asked", 0) + 1
+        return [(row["event_id"], memory.get("total", 0), memory["asked"])]
+
+    registry = Registry(spark)
+    with App("purse", registry) as app:
+        service = app.service("total")
+        service.replier_of(events.filter("event_type = 'purchase'"), ["user_id"], on_event, on_request, "event_id bigint, total bigint, asked bigint")
+    return registry.get("/purse/services/total").ask(events.filter("event_type = 'view'"))
+
+
 def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints, where the cluster names none."""
+    """A folder for checkpoints of a local session that names none; a cluster must name one that its executors share."""
     if not spark.conf.get("spark.checkpoint.dir", ""):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="atomflow-")
