@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from atomflow.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
+from atomflow.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, pipeline
 
 
 def queries() -> dict:
@@ -18,9 +17,9 @@ def queries() -> dict:
         "op8_token_matrices": op8.op8_token_matrices,
         "op9_warc": op9.op9_warc,
         "op10_exact_dedup": op10.op10_exact_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": op1.SQL, "op9_warc": op9.SQL, "op10_exact_dedup": op10.SQL}
+    return {"op1_chat_format": op1.SQL, "op6_near_vectors": op6.SQL, "op9_warc": op9.SQL, "op10_exact_dedup": op10.SQL}

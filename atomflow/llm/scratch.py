@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and joins whose small side may be broadcast."""
 
 from __future__ import annotations
 
@@ -7,16 +7,20 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+#: Rows of a few numbers that are broadcast at most (some 20 bytes each); beyond, the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder of a local session, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="atomflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -63,6 +67,31 @@ def release() -> None:
 atexit.register(release)
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """df (a stored table of few columns) to be joined: broadcast if it has few enough rows, else by a shuffle of both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def rows_that_stay(docs: DataFrame, judged: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """The rows of docs, with all their columns, that were judged to stay.
+
+    judged (a stored table): doc_id, digest and kept of every row. Most rows stay and most ids have one row, so what is looked up is the ids
+    whose rows all go; texts are neither hashed again nor, while those ids can be broadcast, shuffled. Where an id has rows of which some stay,
+    its rows are told apart by digest, an expression over docs.
+    """
+    flags = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    gone = stored(flags.filter("stay < n").select(F.col("doc_id").alias("_gone_id"), (F.col("stay") > 0).alias("_some")), "gone")
+    own = F.col(id_col).cast("bigint")
+    rest = docs.join(small_side(gone.select("_gone_id")), own.eqNullSafe(F.col("_gone_id")), "left_anti")
+    odd = gone.filter("_some").select("_gone_id")
+    if not odd.take(1):
+        return rest
+    odd_rows = docs.join(small_side(odd), own.eqNullSafe(F.col("_gone_id")), "left_semi")
+    stay = judged.filter("kept").join(small_side(odd), F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_semi")
+    stay = stay.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    return rest.unionByName(odd_rows.join(stay.hint("merge"), own.eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest")), "left_semi"))
+
+
 def input_bytes(df: DataFrame, text_col: str) -> int:
     """Size of df, for choosing partition counts: Catalyst's estimate, which reads nothing; where it has none (or multiplies
     the sides of joins), half the bytes of the texts, which are then counted."""

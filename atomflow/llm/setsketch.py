@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomflow.llm.graph import components
-from atomflow.llm.scratch import shuffle_partitions, stored
+from atomflow.llm.scratch import rows_that_stay, shuffle_partitions, small_side, stored
 from atomflow.llm.text import mix, shingle_sets, sliced, trim
-from atomflow.llm.vectors import _groups as runs_of
+from atomflow.llm.vectors import groups_of as runs_of
 
 REGISTERS = 160
 BASE = 1.001
@@ -46,8 +46,6 @@ LIMIT = (1 << 16) - 1
 BLOCK = 256
 #: Candidates are left out if their estimate is so many standard errors below the threshold.
 ERRORS = 4.5
-#: Ids that are broadcast at most (8 bytes each); beyond, the same join shuffles.
-BROADCAST_IDS = 1_000_000
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -216,7 +214,7 @@ class NearDuplicates:
         """node and members (the full set) of these distinct nodes (a small stored table)."""
         k = self.k
         ids = ids.join(self.nodes.select("node", F.col("doc_id").alias("rep"), F.col("digest").alias("own")).hint("merge"), "node")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+        ids = small_side(ids)
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("own"))).select("node", "text")
         if self.repeated:
             texts = texts.dropDuplicates(["node"])
@@ -294,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates keeps, told by id and text."""
-    kept = NearDuplicates(docs, k, num, den, id_col, text_col).run().filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_kept_digest"))
-    return docs.join(kept.hint("merge"), same, "left_semi")
+    judged = stored(NearDuplicates(docs, k, num, den, id_col, text_col).run().select("doc_id", "digest", "kept"), "judged-rows")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    return rows_that_stay(docs.toDF(*names), judged, doc_id, F.xxhash64(F.col(text).cast("string"))).toDF(*docs.columns)

@@ -122,6 +122,7 @@ def brute_vectors(rows, threshold):
 
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "SMALL", 4)
     rng = np.random.default_rng(3)
     rows = [(0, None, 1), (1, [], 1), (2, [0.0] * 8, 1), (3, [1.0, None] + [0.0] * 6, 1), (4, [float("nan")] + [1.0] * 7, 1), (5, [1.0] * 8, None), (6, [1.0] * 8, 1), (7, [2.0] * 8, 1), (8, [1.0] * 4, 1)]
     for _ in range(12):
@@ -138,4 +139,52 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 
 def test_vectors_empty_and_recall(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
-    assert recall() > 0.99
+    assert recall() > 0.99 and all(recall(projections=k, tables=vectors.tables_for(k)) > 0.99 for k in (12, 20, 30))
+    assert vectors.projections_for(10**9) > vectors.projections_for(10**6) > vectors.projections_for(10) == 12
+
+
+def test_recall_on_planted_pairs_of_dimension_64(spark):
+    """Pairs of cosine 0.93 to 0.95 among unrelated vectors: measured recall against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, 64))
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.95, (1500, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * off]).astype("f4")
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    d = x.astype(float)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    want = ((d @ d.T) >= 0.93).sum(1) - 1
+    assert want.sum() >= 2990 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_extreme_null_and_repeated_vectors(spark):
+    """Very small and very large components link like all others; ids may be null or repeat; the type may be double."""
+    big = [1e200, 2e200, -1e200]
+    rows = [(1, big, 1), (2, [x * 1e-300 for x in big], 1), (3, [x / 1e200 * 1e-300 for x in big], 1), (4, [x / 1e200 * 5e-320 for x in big], 1), (None, big, 1), (None, None, 1), (5, big, 2)]
+    rows += [(7, [0.0, 1.0, 0.0], 3), (7, [0.0, 1.0, 0.01], 3), (8, [-0.0, 2.0, 0.0], 3), (9, [0.0] * 2, 3), (9, [1.0] * 40_000, 3), (10, [2.0] * 40_000, 3)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in out), key=repr)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (None, 0, None, True), (None, 0, None, True), (5, 0, 5, True)]
+    want += [(7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 0, 9, True), (9, 1, 9, True), (10, 1, 9, False)]
+    assert got == sorted(want, key=repr)
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """A cluster of hundreds of unequal near copies, of which many share large buckets, among small groups."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    center = rng.standard_normal(16)
+    rows = [(i, (center + rng.normal(0, 0.09, 16)).astype("f4").tolist(), 1) for i in range(400)]
+    for _ in range(60):
+        base = rng.standard_normal(16)
+        rows += [(len(rows) + k, (base + rng.normal(0, 0.09, 16)).astype("f4").tolist(), k % 2) for k in range(6)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    links, labels = brute_vectors([(i, [float(np.float32(x)) for x in v], lab) for i, v, lab in rows], 0.93)
+    found = sum(n for n, _ in got.values())
+    assert found >= 0.995 * sum(links) and all(got[i][0] <= links[i] for i in got)
+    assert sum(got[i][1] == c for i, c in enumerate(labels)) >= 0.99 * len(rows)
