@@ -125,7 +125,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = DigestIndex(docs.sparkSession)
     digests = _digests(docs, id_col, text_col)
     second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    index.append(_groups(digests.filter(~second)), "first")
+    # Stored, as Spark would otherwise take the anti-join below the aggregate and shuffle every row of a digest.
+    index.append(stored(_groups(digests.filter(~second)), "batch-groups"), "first")
     groups = stored(_groups(digests.filter(second)), "batch-groups")
     index.append(groups, "second")
     # A digest of both halves is in the index with its first half: the better row of the two stays, and their sizes add up.
