@@ -4,7 +4,7 @@ Vectors of one label are compared. Each normalised vector is projected on Gaussi
 the tuple of its projections, shifted and cut into steps of ``width``, and a bucket is a label, a table and a code.
 Two vectors of cosine c lie sqrt(2 - 2c) apart, so each of their projections falls into one step with a chance p(c) (``share``). The
 number of projections grows with the logarithm of the largest label's number of distinct vectors, so that an unrelated
-vector shares a bucket about once in a table, and the number of tables is such that a pair at the threshold
+vector shares a bucket about once in eight tables, and the number of tables is such that a pair at the threshold
 shares none of them with a chance of at most ``miss``.
 
 1. Equal vectors of a label (by a 128-bit digest of their bytes) are collapsed to the smallest id with their number, so copies cost one row.
@@ -41,7 +41,7 @@ from atomflow.llm.text import mix
 
 THRESHOLD = 0.93
 MISS = 0.002
-PROJECTIONS = 12
+FEWEST = 4
 WIDTH = 2.0
 #: Vectors of a bucket that gives its pairs of ids; larger ones are compared in blocks.
 SMALL = 16
@@ -64,11 +64,11 @@ def tables_for(projections: int, cosine: float = THRESHOLD, miss: float = MISS,
 
 
 def projections_for(vectors: int, width: float = WIDTH) -> int:
-    """So many projections let an orthogonal vector share a bucket about once among so many vectors."""
-    return max(PROJECTIONS, math.ceil(math.log(max(vectors, 1)) / -math.log(share(0.0, width))))
+    """So many projections let an orthogonal vector share a bucket about once in eight tables among so many vectors."""
+    return max(FEWEST, math.ceil(math.log(8 * max(vectors, 1)) / -math.log(share(0.0, width))))
 
 
-def recall(cosine: float = THRESHOLD, projections: int = PROJECTIONS, tables: int | None = None, width: float = WIDTH) -> float:
+def recall(cosine: float = THRESHOLD, projections: int = 12, tables: int | None = None, width: float = WIDTH) -> float:
     """The chance that two vectors of that cosine share a code in some table."""
     return 1 - (1 - share(cosine, width) ** projections) ** (tables or tables_for(projections))
 
