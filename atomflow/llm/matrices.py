@@ -14,7 +14,8 @@ input_ids: capacity unsigned little-endian ids, 16 bits wide if the vocabulary a
 the end id.
 
 Defined results: a null text is an empty one and makes a segment of the end id alone. Rows that repeat a
-doc_id are separate documents. An empty table gives no rows.
+doc_id are separate documents; a null id is kept as null. Texts of any length are taken whole and cut into pieces. Pieces of equal length keep
+their order. Only the columns for id and text are read, so others may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ END_ID = 2
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece of docs (doc_id, text) with its row and place.
 
-    Rows that repeat a doc_id are separate documents; a null id is kept; an empty table gives no rows.
+    Rows that repeat a doc_id are separate documents; a null id is kept; a null text is an empty one, the end id alone. Texts of any length are taken whole and
+    cut into pieces. Which of several pieces of one length goes where is settled by a hash of (doc_id, piece). Only the columns for id and text are read, so
+    others may have any names; an empty table gives no rows.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     pieces = stored(token_pieces(docs, path, capacity, end_id), "pieces")

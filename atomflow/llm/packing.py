@@ -1,14 +1,13 @@
 """Packing of token sequences into rows of a fixed capacity.
 
 ``plan``: a whole corpus is packed through the histogram of its piece lengths, which has at most
-``capacity`` entries however large the corpus is. The Martello-Toth dominance
-reduction permanently fixes, for the longest length left, the small set that dominates every alternative: the
+``capacity`` entries however large the corpus is. First comes the Martello-Toth dominance reduction: for every length, from the
+longest down and again until no rule fires, the small set that dominates every alternative is permanently fixed and taken out of the instance: the
 piece alone when nothing fits beside it; a pair that fills the row exactly; the piece with the largest
 partner that fits when no two others fit, or when that partner is at least as long as any two
-others that fit and no three do. The lengths that no rule settles are
-packed by best fit: the row that a longest piece opens takes the multiset of other lengths that leaves
-the least room. Each pattern found is used as often as the counts allow, so the number of
-patterns is bounded by the capacity (times the logarithm of it), not by the corpus.
+others that fit and no three do; a pair beside it that fills the row when nothing longer than either fits. What remains is
+packed by best fit, from long to short: each piece goes to the row with the least room that takes it. Rows with the same
+lengths are handled as one, so the number of patterns is bounded by the capacity, not by the corpus.
 
 ``assigned`` then deals out the pieces: those of one length are numbered over a
 salted, two-level count, and a piece's number and length name its row and its place there. No task gets
@@ -18,6 +17,7 @@ more than one salt's share of a length, and only the pattern table is broadcast.
 from __future__ import annotations
 
 import bisect
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from atomflow.llm.scratch import shuffle_partitions
 
+log = logging.getLogger("atomflow")
 
-def _dominating(longest: int, room: int, counts: dict[int, int], lengths: list[int]) -> list[int] | None:
-    """The partners of a longest piece in the set that dominates all others, or None if no rule settles it.
 
-    lengths: those with a count above 0, ascending; counts don't include the longest piece itself.
+def _dominating(piece: int, room: int, counts: dict[int, int], lengths: list[int]) -> list[int] | None:
+    """The partners of a piece in the set that dominates all others, or None if no rule settles it.
+
+    lengths: those with a count above 0, ascending; counts don't include the piece itself.
     """
     fitting = lengths[: bisect.bisect_right(lengths, room)]
     if not fitting:
@@ -72,74 +74,83 @@ def _pair(total: int, fitting: list[int], counts: dict[int, int]) -> list[int] |
     return None
 
 
-def _best_fit(room: int, counts: dict[int, int], lengths: list[int]) -> list[int]:
-    """The multiset of lengths that leaves the least room; longer pieces come first among equals."""
-    fitting = lengths[: bisect.bisect_right(lengths, room)]
-    reach, steps, everything = 1, [], (1 << (room + 1)) - 1
-    for x in reversed(fitting):
-        for _ in range(min(counts[x], room // x)):
-            grown = (reach | (reach << x)) & everything
-            if grown == reach:
-                break
-            steps.append((x, reach))
-            reach = grown
-            if reach >> room & 1:
-                break
-        if reach >> room & 1:
-            break
-    left, out = reach.bit_length() - 1, []
-    for x, before in reversed(steps):
-        if not before >> left & 1:
-            out.append(x)
-            left -= x
-    return sorted(out, reverse=True)
-
-
-def _largest_first(room: int, counts: dict[int, int], lengths: list[int]) -> list[int]:
-    """Again and again the largest length that fits."""
-    out: list[int] = []
-    at = bisect.bisect_right(lengths, room) - 1
-    while at >= 0:
-        x = lengths[at]
-        n = min(counts[x], room // x)
-        out += [x] * n
-        room -= n * x
-        at = min(at, bisect.bisect_right(lengths, room)) - 1
-    return out
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...], str]]:
-    """Patterns (number of rows, lengths in a row, how it was found) that use up the histogram.
+def reduced(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """Fixed sets (number of rows, lengths in a row) and the histogram of what no rule settles.
 
-    The remainder is filled by best fit over whole rows and by largest piece first; the plan with fewer rows is taken.
+    A rule that holds for a piece goes on to hold when pieces are taken out, so a set is fixed as often as its lengths allow.
+    """
+    counts = {x: n for x, n in histogram.items() if n > 0}
+    fixed: list[tuple[int, tuple[int, ...]]] = []
+    again = True
+    while again:
+        again = False
+        for x in sorted(counts, reverse=True):
+            while counts.get(x):
+                counts[x] -= 1
+                lengths = sorted(y for y, n in counts.items() if n)
+                partners = _dominating(x, capacity - x, counts, lengths)
+                counts[x] += 1
+                if partners is None:
+                    break
+                row = tuple(sorted([x, *partners], reverse=True))
+                times = min(counts[y] // row.count(y) for y in set(row))
+                fixed.append((times, row))
+                for y in row:
+                    counts[y] -= times
+                again = True
+        counts = {x: n for x, n in counts.items() if n}
+    return fixed, counts
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Rows (number, lengths) of best fit from long to short.
+
+    Of the open rows with the least room that takes a piece, one takes pieces of that length while they fit, since it goes on to have
+    the least room; so rows of equal room are filled alike.
     """
-    plans = [_plan(histogram, capacity, fill) for fill in (_best_fit, _largest_first)]
-    return min(plans, key=lambda p: sum(times for times, _, _ in p))
+    rooms: dict[int, list[list]] = {}
+    done: list[tuple[int, tuple[int, ...]]] = []
+
+    def put(times: int, row: tuple[int, ...], room: int) -> None:
+        if times and room:
+            rooms.setdefault(room, []).append([times, row])
+        elif times:
+            done.append((times, row))
+
+    for x in sorted(histogram, reverse=True):
+        left = histogram[x]
+        for room in sorted(r for r in rooms if r >= x):
+            q = room // x
+            while left and rooms[room]:
+                times, row = rooms[room].pop()
+                full = min(times, left // q)
+                put(full, row + (x,) * q, room - q * x)
+                left -= full * q
+                if full < times and left:  # one row takes the rest
+                    put(1, row + (x,) * left, room - left * x)
+                    left, full = 0, full + 1
+                put(times - full, row, room)
+                if full < times:
+                    break
+            if not rooms[room]:
+                del rooms[room]
+            if not left:
+                break
+        q = capacity // x
+        put(left // q, (x,) * q, capacity - q * x)
+        put(int(left % q > 0), (x,) * (left % q), capacity - left % q * x)
+    return done + [(times, row) for parts in rooms.values() for times, row in parts]
 
 
-def _plan(histogram: dict[int, int], capacity: int, fill) -> list[tuple[int, tuple[int, ...], str]]:
-    counts = {x: n for x, n in histogram.items() if n > 0}
-    if any(x < 1 or x > capacity for x in counts):
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...], str]]:
+    """Patterns (number of rows, lengths in a row, fixed or best fit) that use up the histogram; the fixed ones come first."""
+    if any(x < 1 or x > capacity for x, n in histogram.items() if n):
         raise ValueError("a piece is empty or longer than a row")
-    lengths = sorted(counts)
-    out: list[tuple[int, tuple[int, ...], str]] = []
-    while lengths:
-        longest = lengths[-1]
-        room = capacity - longest
-        counts[longest] -= 1
-        rest = lengths if counts[longest] else lengths[:-1]
-        partners = _dominating(longest, room, counts, rest)
-        how = "fixed" if partners is not None else "best fit"
-        if partners is None:
-            partners = fill(room, counts, rest)
-        counts[longest] += 1
-        row = tuple(sorted([longest, *partners], reverse=True))
-        times = min(counts[x] // row.count(x) for x in set(row))
-        out.append((times, row, how))
-        for x in row:
-            counts[x] -= times
-        lengths = [x for x in lengths if counts[x]]
-    return out
+    fixed, rest = reduced(histogram, capacity)
+    rows = best_fit(rest, capacity)
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    log.info("packing: %d rows fixed by dominance, %d by best fit, at least %d needed", sum(n for n, _ in fixed), sum(n for n, _ in rows), least)
+    return [(n, row, "fixed") for n, row in fixed] + [(n, row, "best fit") for n, row in rows]
 
 
 def intervals(patterns: Iterable[tuple[int, tuple[int, ...], str]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -9,7 +9,7 @@ import pytest
 from atomflow.llm.bpe_chunks import ChunkedBpe, cut_points, encode_documents
 from atomflow.llm.matrices import best_fit_decreasing, packed_matrices, position_ids, read_matrices, write_matrices
 from atomflow.llm.op5 import pack_documents
-from atomflow.llm.packing import intervals, plan
+from atomflow.llm.packing import _dominating, best_fit, intervals, plan, reduced
 from atomflow.llm.tokens import ByteBpe, Memory, library
 
 BYTE, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -97,6 +97,19 @@ def test_packing_of_documents(spark):
     assert pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_with_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "one two"), (None, "one two"), (3, "x " * 3000), (3, "x " * 3000), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, "c", 3) for r in rows], "doc_id bigint, text string, length int, piece int, _salt string, sequence_id int")
+    out = pack_documents(docs).collect()
+    lib = library(BYTE)
+    want = sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=repr)
+    got = [(r.doc_id, r.length) for r in out if r.piece == 0 and r.length <= 3]
+    assert sorted(got, key=repr) == [x for x in want if x[1] <= 3]
+    assert sum(r.length for r in out) == sum(n for _, n in want) and len({(r.sequence_id, r.offset) for r in out}) == len(out)
+    matrices = packed_matrices(docs, BYTE, capacity=512).collect()
+    assert sum(r.n_tokens for r in matrices) == sum(n for _, n in want) and sum(r.doc_ids.count(None) for r in matrices) == 2
+
+
 def test_plan_uses_up_the_histogram_and_is_near_the_bound():
     rng = random.Random(2)
     for _ in range(60):
@@ -135,6 +148,57 @@ def brute_best_fit(lengths, capacity):
     return len(rooms)
 
 
+def test_best_fit_of_equal_lengths_is_best_fit():
+    rng = random.Random(9)
+    for _ in range(200):
+        capacity = rng.choice([7, 20, 100])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(0, 300))]
+        rows = best_fit({x: items.count(x) for x in set(items)}, capacity)
+        assert sorted(x for n, row in rows for x in row * n) == sorted(items)
+        assert all(sum(row) <= capacity for _, row in rows)
+        assert sum(n for n, _ in rows) == brute_best_fit(items, capacity)
+
+
+def fewest_rows(items, capacity):
+    """The fewest rows, by trying everything."""
+    best = [len(items)]
+
+    def put(at, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if at == len(items):
+            best[0] = len(rooms)
+            return
+        for r in sorted({*rooms}):
+            if r >= items[at]:
+                rest = list(rooms)
+                rest.remove(r)
+                put(at + 1, [*rest, r - items[at]])
+        put(at + 1, [*rooms, capacity - items[at]])
+
+    items = sorted(items, reverse=True)
+    put(0, [])
+    return best[0]
+
+
+def test_reduction_is_optimal_and_runs_until_no_rule_fires():
+    """Fixed sets never cost a row against the best packing; the remainder is what no rule settles, packed by best fit."""
+    rng = random.Random(12)
+    for _ in range(300):
+        capacity = rng.choice([10, 17, 30])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        fixed, rest = reduced({x: items.count(x) for x in set(items)}, capacity)
+        left = [x for x, n in rest.items() for _ in range(n)]
+        assert sorted([x for n, row in fixed for x in row * n] + left) == sorted(items)
+        assert sum(n for n, _ in fixed) + fewest_rows(left, capacity) == fewest_rows(items, capacity), (items, capacity, fixed)
+        for x in rest:
+            others = rest | {x: rest[x] - 1}
+            assert _dominating(x, capacity - x, others, sorted(y for y, n in others.items() if n)) is None
+        found = plan({x: items.count(x) for x in set(items)}, capacity)
+        how = [h for _, _, h in found]
+        assert how == sorted(how, reverse=True) and sum(n for n, _, h in found if h == "best fit") == brute_best_fit(left, capacity)
+
+
 def test_tree_packs_as_well_as_best_fit():
     rng = random.Random(4)
     for _ in range(100):
