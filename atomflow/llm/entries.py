@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": op1.SQL, "op6_near_vectors": op6.SQL, "op9_warc": op9.SQL, "op10_exact_dedup": op10.SQL}
+    return {"op1_chat_format": op1.SQL, "op3_minhash": op3.SQL, "op6_near_vectors": op6.SQL, "op7_substring_dedup": op7.SQL, "op9_warc": op9.SQL, "op10_exact_dedup": op10.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomflow.llm.scratch import stored
+from atomflow.llm.scratch import HOT, split_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,19 +13,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among its own and its neighbours', then the label of that label; a
     chain of n nodes needs about log2(n) rounds. A round reads and writes tables in the shared
-    folder, so no lineage builds up. Joins shuffle both sides, so that a node with very many edges is split.
+    folder, so no lineage builds up. Nodes with very many edges and labels of very many nodes are split among tasks.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct(), "edges")
+    if not both.take(1):
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
+    degrees = both.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
+    degrees = stored(degrees, "degrees") if degrees.take(1) else None
+    largest = 0
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        old = labels.withColumnRenamed("node", "b")
+        near = both.join(old.hint("merge"), "b") if degrees is None else split_join(both, old, "b", "a", degrees)
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("least"))
         up = labels.select(F.col("node").alias("least"), F.col("component").alias("up"))
-        new = stored(least.join(up, "least").select("node", "old", F.least("least", "up").alias("component")), "labels")
-        if not new.filter("old <> component").take(1):
+        # largest is the largest label of the round before.
+        up = split_join(stored(least, "least"), up, "least", "node") if largest >= HOT else least.join(up.hint("merge"), "least")
+        new = stored(up.select("node", "old", F.least("least", "up").alias("component")), "labels")
+        state = new.groupBy("component").agg(F.count("*").alias("n"), F.max((F.col("old") != F.col("component")).cast("int")).alias("changed"))
+        state = state.agg(F.max("n").alias("largest"), F.max("changed").alias("changed")).first()
+        if not state["changed"]:
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels, largest = new.select("node", "component"), state["largest"]
 
 
 def label_all(nodes: int, i, j):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _made: dict[str, SparkSession] = {}
 #: Rows of a few numbers that are broadcast at most (some 20 bytes each); beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a join key from which it is split among tasks.
+HOT = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +74,23 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
+def split_join(many: DataFrame, one: DataFrame, on: str, spread: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """many (a stored table) joined with one, which has a row for each value of on, without any value in one task.
+
+    Values with HOT rows or more are dealt over several tasks by a hash of spread, and their row of one goes to each of them. sizes: on and
+    the number of rows as n, where they are known.
+    """
+    sizes = many.groupBy(on).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = sizes.filter(F.col("n") >= HOT).select(on, F.ceil(F.col("n") / HOT).cast("int").alias("_salts"))
+    if not hot.take(1):
+        return many.join(one.hint("merge"), on, how)
+    hot = stored(hot, "hot")
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = many.join(small_side(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
+    copied = one.join(small_side(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied.hint("merge"), [on, "_salt"], how).drop("_salt")
+
+
 def rows_that_stay(docs: DataFrame, judged: DataFrame, id_col: str, digest: Column) -> DataFrame:
     """The rows of docs, with all their columns, that were judged to stay.
 

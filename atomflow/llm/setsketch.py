@@ -21,7 +21,7 @@ Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than k word
 whole sequence as its only member; a null or empty text or one without words has an empty set and links with nothing. A node
 is a set, not an id: rows that repeat an id but not the set are separate documents, and rows without an id are linked as all others.
 component_id is the smallest id in the component, null if it has none. In each component one row is kept, and with it only those that
-repeat its id (not null) and text. An empty table gives no rows; only the columns for id and text are read.
+repeat its id (not null) and text. Texts of any length are taken whole, in blocks. An empty table gives no rows; only the columns for id and text are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomflow.llm.graph import components
-from atomflow.llm.scratch import rows_that_stay, shuffle_partitions, small_side, stored
+from atomflow.llm.scratch import rows_that_stay, shuffle_partitions, small_side, split_join, stored
 from atomflow.llm.text import mix, shingle_sets, sliced, trim
 from atomflow.llm.vectors import groups_of as runs_of
 
@@ -224,7 +224,7 @@ class NearDuplicates:
         """The pairs (a stored table) that are links by their full sets."""
         num, den = self.num, self.den
         sets = self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
+        full = split_join(pairs, sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a", "b")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
         return stored(full.select("a", "b", "ma", "mb").mapInArrow(lambda it: _confirmed(it, num, den), "a bigint, b bigint").distinct(), "links")
 
@@ -235,26 +235,28 @@ class NearDuplicates:
         self.repeated = bool(sketches.filter("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).filter("c > 1").take(1))
         # The row that stands for a set: null ids come last, and only among them rows of one text are told apart.
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"))
-        groups = sketches.filter("n > 0").groupBy("sig").agg(F.min(first).alias("first"), F.min_by(F.struct("n", "sketch"), first).alias("own"))
+        groups = sketches.filter("n > 0").groupBy("sig").agg(F.min(first).alias("first"), F.min_by(F.struct("n", "sketch"), first).alias("own"), F.count("*").alias("copies"))
         numbered = groups.orderBy("first", "sig").withColumn("node", F.monotonically_increasing_id())
-        self.nodes = nodes = stored(numbered.select("node", "sig", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), "own.n", "own.sketch"), "nodes")
+        self.nodes = nodes = stored(numbered.select("node", "sig", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), "own.n", "own.sketch", "copies"), "nodes")
         keys = stored(nodes.select("node", "sketch").mapInArrow(lambda it: _bands(it, length), "key bigint, band int, node bigint"), "bands")
-        shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-        buckets = stored(keys.join(shared.hint("merge"), "key"), "buckets")
+        shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1"), "shared")
+        buckets = stored(split_join(keys, shared, "key", "node", shared.select("key", F.col("size").alias("n"))), "buckets")
 
-        pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).hint("merge")
-        tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _likely(it, least), "a bigint, b bigint"), "pairs")
+        pairs = stored(buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        tested = split_join(pairs, side("a"), "a", "b").join(side("b").hint("merge"), "b")
+        tested = stored(tested.mapInArrow(lambda it: _likely(it, least), "a bigint, b bigint"), "pairs")
         links = self.confirmed(tested)
         labels = components(links)
         more = self.across(buckets, nodes, labels)
         if more is not None and more.take(1):
             labels = components(links.unionByName(more))
         tops = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("top"))
-        tops = labels.join(tops.hint("merge"), "component")
-        placed = nodes.select("sig", "node", "first").join(tops.hint("merge"), "node", "left")
-        placed = placed.select("sig", "first", F.when(F.col("component").isNull(), F.col("first.doc_id")).otherwise(F.col("top")).alias("component_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("root"))
-        whole = sketches.join(placed.hint("merge"), "sig", "left")
+        tops = split_join(labels, tops, "component", "node")
+        placed = nodes.select("sig", "node", "first", "copies").join(tops.hint("merge"), "node", "left")
+        placed = placed.select("sig", "first", "copies", F.when(F.col("component").isNull(), F.col("first.doc_id")).otherwise(F.col("top")).alias("component_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("root"))
+        placed = stored(placed, "placed")
+        whole = split_join(sketches.drop("sketch"), placed.drop("copies"), "sig", "row", placed.select("sig", F.col("copies").alias("n")), "left")
         kept = F.col("sig").isNull() | (F.col("root") & (first == F.col("first")))
         own = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return whole.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), "digest")

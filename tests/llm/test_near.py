@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from atomflow.llm import setsketch, vectors
+from atomflow.llm import graph, scratch, setsketch, vectors
 from atomflow.llm.graph import components
 from atomflow.llm.setsketch import band_length, estimate, merged, near_duplicates, registers_of, without_near_copies
 from atomflow.llm.text import shingle_sets
@@ -47,6 +47,8 @@ def corpus(rng, groups, size, words=60):
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 85, 100), (5, 80, 100)])
 def test_documents_against_brute_force(spark, monkeypatch, k, num, den):
     monkeypatch.setattr(setsketch, "BLOCK", 32)
+    monkeypatch.setattr(scratch, "HOT", 8)
+    monkeypatch.setattr(graph, "HOT", 8)
     rng = random.Random(7)
     texts = [None, "", " \n", "a", "A", "a b", "one two three", "One TWO  three"] + corpus(rng, 40, 6) + corpus(rng, 1, 120, 90) + ["hot copy of a text " * 4] * 80 + ["long " * 20_000]
     rows = [(i, t, "clash", 1, i) for i, t in enumerate(texts)]
@@ -99,7 +101,10 @@ def test_bands_are_long_enough_and_miss_little():
         assert r >= 5 and (1 - t**r) ** (setsketch.REGISTERS // r) <= 1e-5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [4, 10**6])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(scratch, "HOT", hot)
+    monkeypatch.setattr(graph, "HOT", hot)
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (5, 6), (6, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 160)} | {5: 5, 6: 5}
