@@ -9,40 +9,41 @@ runs of n - v + 1 words that start at cover positions of either document: the an
 hashed and exchanged at first, |D| / v of all positions; windows are hashed and exchanged where an
 anchor of theirs occurs in another document, which extends the match to the full window.
 
-How it runs: documents are dealt by a hash of their id into batches of some megabytes of
+How it runs: documents are dealt by a hash of their id and text into batches of some megabytes of
 text. A batch sends each distinct anchor hash once, packed with others into one binary row for each of
 a number of hash ranges, so that the shuffle carries a few bytes per anchor and a passage that a third of all
 documents share costs one entry per batch. Each range tells the batches which of their anchors occur in another batch; the
 batches then do the same with the windows, and each range tells them which windows start in a smaller
 document elsewhere. All three visits to a batch read the same shuffled texts.
 
-Windows count as equal when their 64-bit hashes are; among n windows some n*n/2**65 pairs meet by accident.
+Windows count as equal when two 64-bit hashes of theirs are, 128 bits in all: among 10**13 windows, two different ones meet with a chance
+below 10**-11, unless they differ only in words whose own 64-bit hashes agree.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none. Repetition
 inside a document, or between rows of the same id, removes nothing. A null id
-counts as larger than every other; between rows without an id nothing is removed. An empty table gives no rows;
+counts as larger than every other; between rows without an id nothing is removed. Texts of any length are taken whole. An empty table gives no rows;
 only the columns for id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomflow.llm.scratch import input_bytes, shuffle_partitions
-from atomflow.llm.text import hash_runs, hash_words, mix, sliced, trim
+from atomflow.llm.text import OTHER, hash_runs, hash_words, mix, sliced, trim
 
-#: Bytes of input (as stored) in a batch of documents: a task's memory is some tens of times this. The shuffle has a
-#: row for each batch and range, so a cluster with large executors sets this higher for very large inputs.
+#: Bytes of input (as stored) in a batch of documents, at least: a task's memory is some tens of times this.
 BATCH = 2 << 20
-#: Bytes of input (as stored) whose anchors one hash range takes, about half as many bytes.
+#: Bytes of input (as stored) whose anchors one hash range takes, at least; about half as many bytes.
 RANGE = 64 << 20
 _NONE = np.int64(2**63 - 1)
 
@@ -94,6 +95,12 @@ class Batch:
         at = np.flatnonzero(np.isin(self.place % self.v, self.cover) & (self.left >= self.anchor))
         return at, hash_runs(self.words, self.anchor)[at] if len(at) else np.empty(0, np.uint64)
 
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows at these positions."""
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return hash_runs(self.words, self.window)[at], hash_runs(mix(self.words), self.window, OTHER)[at]
+
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Positions of the windows of which an anchor at a cover position is shared; shared holds anchor positions."""
         flag = np.zeros(len(self.words) + 1, np.int32)
@@ -113,6 +120,31 @@ def _by_hash(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[first], np.minimum.reduceat(o, first), np.maximum.reduceat(o, first)
 
 
+def _by_window(h: np.ndarray, c: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows (two hashes) in ascending order with their smallest owner."""
+    if not len(h):
+        return h, c, owners
+    order = np.lexsort((c, h))
+    h, c, o = h[order], c[order], owners[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+    return h[first], c[first], np.minimum.reduceat(o, first)
+
+
+def _find(h: np.ndarray, c: np.ndarray, wanted_h: np.ndarray, wanted_c: np.ndarray) -> np.ndarray:
+    """Where each wanted window stands among distinct ones in ascending order, or -1."""
+    at = np.searchsorted(h, wanted_h)
+    out = np.full(len(at), -1)
+    todo = np.arange(len(at))
+    while len(todo):
+        todo = todo[at[todo] < len(h)]
+        todo = todo[h[at[todo]] == wanted_h[todo]]
+        same = c[at[todo]] == wanted_c[todo]
+        out[todo[same]] = at[todo[same]]
+        todo = todo[~same]
+        at[todo] += 1  # another window with the same first hash
+    return out
+
+
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of hashes starts in the ascending hashes, and the end."""
     marks = np.array([(k << 64) // n for k in range(n)], np.uint64)
@@ -166,7 +198,7 @@ def _range_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _send_windows(texts: pa.Table, answers: pa.Table, window: int, ranges: int) -> pa.Table:
-    names, types = ["range", "batch", "hashes", "owners"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names, types = ["range", "batch", "hashes", "checks", "owners"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     if not texts.num_rows:
         return _out([], names, types)
     batch = texts.column("batch")[0].as_py()
@@ -179,25 +211,25 @@ def _send_windows(texts: pa.Table, answers: pa.Table, window: int, ranges: int)
     keys = _short(h).astype(np.uint64) | (_range_of(h, ranges).astype(np.uint64) << np.uint64(32))
     shared = h[(lo != hi) | np.isin(keys, np.concatenate(told))]
     where = b.candidates(at[np.isin(hashes, shared)])
-    w = hash_runs(b.words, window)[where] if len(where) else np.empty(0, np.uint64)
-    h, least, _ = _by_hash(w, b.ids[b.doc[where]])
+    w, check = b.windows(where)
+    h, c, least = _by_window(w, check, b.ids[b.doc[where]])
     starts = _ranges(h, ranges)
-    rows = [(k, batch, h[s:e].tobytes(), least[s:e].tobytes()) for k, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)) if e > s]
+    rows = [(k, batch, h[s:e].tobytes(), c[s:e].tobytes(), least[s:e].tobytes()) for k, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)) if e > s]
     return _out(rows, names, types)
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """For each batch, the windows of this range that start in a document of another batch with a smaller id than all of its own."""
     batches = table.column("batch").to_pylist()
-    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("hashes")]
+    parts = [tuple(np.frombuffer(x.as_buffer(), "<u8") for x in pair) for pair in zip(table.column("hashes"), table.column("checks"), strict=True)]
     owners = [np.frombuffer(x.as_buffer(), "<i8") for x in table.column("owners")]
-    h, least, _ = _by_hash(np.concatenate(parts), np.concatenate(owners))
+    h, c, least = _by_window(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(owners))
     rows = []
-    for batch, part, own in zip(batches, parts, owners, strict=True):
-        mine = part[least[np.searchsorted(h, part)] < own]
-        if len(mine):
-            rows.append((batch, mine.tobytes()))
-    return _out(rows, ["batch", "hashes"], [pa.int32(), pa.binary()])
+    for batch, (part, check), own in zip(batches, parts, owners, strict=True):
+        mine = least[_find(h, c, part, check)] < own
+        if mine.any():
+            rows.append((batch, part[mine].tobytes(), check[mine].tobytes()))
+    return _out(rows, ["batch", "hashes", "checks"], [pa.int32(), pa.binary(), pa.binary()])
 
 
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -213,11 +245,12 @@ def _judge(texts: pa.Table, answers: pa.Table, window: int, full: bool) -> pa.Ta
     ids, raw = _texts(texts)
     b = Batch(ids, raw, window)
     at = np.flatnonzero(b.left >= window)
-    w = hash_runs(b.words, window)[at] if len(at) else np.empty(0, np.uint64)
-    elsewhere = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_buffer(), "<u8") for x in answers.column("hashes"))])
-    h, least, _ = _by_hash(w, b.ids[b.doc[at]])
-    smaller = least[np.searchsorted(h, w)] < b.ids[b.doc[at]] if len(w) else np.zeros(0, bool)
-    hit = at[smaller | np.isin(w, elsewhere)]
+    w, check = b.windows(at)
+    told = [np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_buffer(), "<u8") for x in answers.column(n))]) for n in ("hashes", "checks")]
+    h, c, least = _by_window(w, check, b.ids[b.doc[at]])
+    smaller = least[_find(h, c, w, check)] < b.ids[b.doc[at]] if len(w) else np.zeros(0, bool)
+    h, c, _ = _by_window(*told, np.zeros(len(told[0]), np.int8))
+    hit = at[smaller | (_find(h, c, w, check) >= 0)]
     cover = np.zeros(len(b.words) + 1, np.int32)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + window, -1)
@@ -236,8 +269,21 @@ def _judge(texts: pa.Table, answers: pa.Table, window: int, full: bool) -> pa.Ta
     return out
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings spell it: a number and a unit, mebibytes without one."""
+    found = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", size.strip().lower())
+    return int(found[1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[found[2] or "m"] if found else 1 << 30
+
+
+def sizes_for(spark: SparkSession, batch_bytes: int | None = None) -> tuple[int, int]:
+    """Bytes of a batch and of a range, from the memory that a core of an executor has: the larger they are, the fewer and longer the rows between them."""
+    conf = spark.sparkContext.getConf()
+    memory = _bytes(conf.get("spark.executor.memory", "1g")) // max(1, int(conf.get("spark.executor.cores", "1")))
+    return batch_bytes or max(BATCH, memory >> 10), max(RANGE, memory >> 4)
+
+
 def remove_repeats(
-    docs: DataFrame, window: int = 13, full: bool = True, batch_bytes: int = BATCH, id_col: str = "doc_id", text_col: str = "text", rest: bool = False
+    docs: DataFrame, window: int = 13, full: bool = True, batch_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", rest: bool = False
 ) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document.
 
@@ -246,9 +292,11 @@ def remove_repeats(
     """
     partitions = shuffle_partitions(docs.sparkSession)
     size = input_bytes(docs, text_col)
-    ranges, batches = max(partitions, -(-size // RANGE)), max(partitions, -(-size // batch_bytes))
+    batch_bytes, range_bytes = sizes_for(docs.sparkSession, batch_bytes)
+    ranges, batches = max(partitions, -(-size // range_bytes)), max(partitions, -(-size // batch_bytes))
     doc_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
-    cols = [doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("batch")]
+    # Dealt by the text too: rows without an id, or of one id, are spread; owners are compared by id wherever they lie.
+    cols = [doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(batches)).cast("int").alias("batch")]
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     if rest:
         cols.append(F.struct(*(docs[c] for c in others)).alias("rest") if others else F.struct(F.lit(0).alias("none")).alias("rest"))
@@ -257,9 +305,9 @@ def remove_repeats(
     sent = by_batch.applyInArrow(lambda t: _send_anchors(t, window, ranges), "range int, batch int, hashes binary")
     shared = sent.groupBy("range").applyInArrow(_answer_anchors, "batch int, range int, hashes binary")
     windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(
-        lambda t, a: _send_windows(t, a, window, ranges), "range int, batch int, hashes binary, owners binary"
+        lambda t, a: _send_windows(t, a, window, ranges), "range int, batch int, hashes binary, checks binary, owners binary"
     )
-    smaller = windows.groupBy("range").applyInArrow(_answer_windows, "batch int, hashes binary")
+    smaller = windows.groupBy("range").applyInArrow(_answer_windows, "batch int, hashes binary, checks binary")
     schema = _RESULT + ", kept string" * full + (f", rest {dealt.schema['rest'].dataType.simpleString()}" if rest else "")
     return by_batch.cogroup(smaller.groupBy("batch")).applyInArrow(lambda t, a: _judge(t, a, window, full), schema)
 

@@ -21,6 +21,8 @@ BLOCK = 1 << 20
 
 _BASE_BYTES = 0x9E3779B97F4A7C15
 _BASE_WORDS = 0xD1342543DE82EF95
+#: Base of a second, independent hash of runs.
+OTHER = 0xA24BAED4963EE407
 _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -115,7 +117,7 @@ def hash_words(texts: Sequence[bytes | None], spans: bool = False):
     return words, bounds
 
 
-def hash_runs(words: np.ndarray, length: int) -> np.ndarray:
+def hash_runs(words: np.ndarray, length: int, base: int = _BASE_WORDS) -> np.ndarray:
     """The hash of words[i:i + length] for each i; runs may cross texts, the caller leaves those out."""
     n = len(words) - length + 1
     if n <= 0:
@@ -123,7 +125,7 @@ def hash_runs(words: np.ndarray, length: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     for at in range(0, n, BLOCK):
         w = words[at : min(at + BLOCK, n) + length - 1]
-        p, q = powers(_BASE_WORDS, len(w) + 1)
+        p, q = powers(base, len(w) + 1)
         total = np.empty(len(w) + 1, np.uint64)
         total[0] = 0
         np.cumsum(w * p[: len(w)], out=total[1:])

@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from atomflow.llm import substring
 from atomflow.llm.substring import difference_cover, period, remove_repeats, without_repeats
 
 
@@ -64,3 +67,24 @@ def test_covers():
             for j in range(v):
                 assert any((i + d) % v in cover and (j + d) % v in cover for d in range(v))
     assert len(difference_cover(7)) == 3 and period(13) == 7 and period(1) == 1
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Many rows without an id, or of one id, don't meet in one batch; nothing is removed among them, but what a smaller id has."""
+    rng = random.Random(2)
+    line = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, f"n{i} {line} m{i}") for i in range(3000)] + [(7, f"s{i} {line}") for i in range(500)] + [(3, line), (None, None), (7, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = remove_repeats(docs, 13, full=False, batch_bytes=20_000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
+    sizes = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).alias("b")).groupBy("b").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 400
+
+
+def test_windows_need_both_hashes():
+    h, c = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64)
+    assert substring._find(h, c, np.array([5, 5, 5, 9, 9, 1, 10], np.uint64), np.array([2, 1, 3, 3, 4, 1, 1], np.uint64)).tolist() == [1, 0, -1, 2, -1, -1, -1]
+    a, b, least = substring._by_window(np.array([9, 5, 5, 5], np.uint64), np.array([3, 2, 1, 2], np.uint64), np.array([4, 8, 2, 6]))
+    assert (a.tolist(), b.tolist(), least.tolist()) == ([5, 5, 9], [1, 2, 3], [2, 6, 4])
+    assert substring._bytes("1800m") == 1800 << 20 and substring._bytes("16g") == 16 << 30 and substring._bytes("512") == 512 << 20
