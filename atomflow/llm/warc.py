@@ -7,9 +7,12 @@ least ``min_revisit`` bytes, a revisit record that refers to it. Blocks longer t
 continuation records that name the origin, their number and, in the last one, the total
 length. Archives are WARC 1.1 files, compressed with gzip as a whole, that Spark's own text writer puts into the given
 folder (a record ends in CR LF CR LF, which is the writer's line separator), so they can lie
-in any store that Spark reaches and are committed as a whole.
+in any store that Spark reaches and are committed as a whole. Since no record is longer than a segment and its header, a number of records
+bounds an archive's bytes, whatever the pages' sizes are. Payloads aren't shuffled: the digests that several pages share are looked up, by broadcast
+while they are few enough.
 
-Reading: each archive is parsed by its Content-Length fields, the segments of a record are grouped by
+Reading: each archive is decompressed and parsed record by record, by its Content-Length fields, so a task holds one compressed archive and
+one record; archives whose records are gzip members of their own are read alike (Spark's binary reader takes files below 2 GB). The segments of a record are grouped by
 the identifier of their origin, ordered by number and checked against the total
 length; the chunked framing is undone, and the payload's SHA-1 is checked against the header. A
 group is the segments of one record, so it is as large as one page. Any violation
@@ -17,12 +20,15 @@ raises.
 
 Defined results: a null page is an empty one. Rows that repeat a page_id are kept as separate
 records, told apart by a number in the record's identifier; a page_id may be null. Only the columns for id, url and
-payload are read. An empty table gives archives without records, and no rows.
+payload are read, so others may have any names. Pages of any length are written whole. Of equal payloads with equal largest ids all are responses.
+An empty table gives archives without records, and no rows.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -30,11 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomflow.llm.scratch import small_side, stored
 
 CRLF = "\r\n"
-SEGMENT = 64 * 1024
-CHUNK = 16 * 1024
-PER_FILE = 2000
+#: Bytes of a record's block that stay in one segment.
+SEGMENT = 8 * 1024
+CHUNK = 4 * 1024
+#: Bytes of an archive before compression, about; segments bound its records, so the number of records bounds its bytes.
+ARCHIVE = 32 << 20
+#: Bytes of a record's header that archives are reckoned with.
+HEADER = 1024
 _ID = "urn:x-atomflow:"
 
 
@@ -42,7 +53,7 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Pages with the SHA-1 of their payload, and for revisits the id of the response that they repeat.
 
     Of equal payloads the largest id is the response. The groups are reduced per task before the
-    shuffle and joined back on shuffled sides, so that a payload of very many pages is split.
+    shuffle, and only those of several pages are joined back.
     """
     base = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -51,7 +62,7 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     groups = (
         base.filter(F.col("size") >= min_revisit).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    same = base.join(groups.hint("merge"), ["digest", "size"], "left")
+    same = base.join(small_side(stored(groups, "repeated")), ["digest", "size"], "left")
     return same.select("page_id", "url", "payload", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
@@ -92,10 +103,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], segment: int, chunk: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE, compression: str = "gzip", **names: str) -> None:
-    """Writes the archives of pages into a new folder, at most per_file records in each; compression: gzip, for each file as a whole, or none."""
+def write_archives(
+    pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, archive: int = ARCHIVE, compression: str = "gzip", **names: str
+) -> None:
+    """Writes the archives of pages into a new folder, each of about so many bytes at most; compression: gzip, for each file as a whole, or none."""
     rows = classified(pages, **names).withColumn("nr", F.monotonically_increasing_id())
     records = rows.mapInArrow(lambda it: _blocks(it, segment, chunk), "record binary")
+    per_file = max(1, archive // (segment + HEADER))
     records.select(F.col("record").cast("string")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
@@ -106,23 +120,23 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
 
 
-def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive, plain or compressed with gzip."""
-    if archive[:2] == b"\x1f\x8b":
-        import gzip
-
-        archive = gzip.decompress(archive)
-    at = 0
-    while at < len(archive):
-        end = archive.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a record's header doesn't end")
-        fields = _fields(archive[at:end])
-        at, n = end + 4, int(fields["content-length"])
-        if at + n + 4 > len(archive) or archive[at + n : at + n + 4] != b"\r\n\r\n":
+def records_of(archive: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an archive, plain or compressed with gzip in one member or several; one record is held at a time."""
+    stream = pa.BufferReader(archive)
+    plain = bytes(archive[:2]) != b"\x1f\x8b"
+    read = io.BufferedReader(stream if plain else gzip.GzipFile(fileobj=stream), 1 << 16)
+    while first := read.readline():
+        head = first
+        while (line := read.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a record's header doesn't end")
+            head += line
+        fields = _fields(head.removesuffix(b"\r\n"))
+        n = int(fields["content-length"])
+        block, end = read.read(n), read.read(4)
+        if len(block) != n or end != b"\r\n\r\n":
             raise ValueError(f"the block of {fields.get('warc-record-id')} isn't {n} bytes long")
-        yield fields, archive[at : at + n]
-        at += n + 4
+        yield fields, block
 
 
 def dechunk(body: bytes) -> bytes:
@@ -150,7 +164,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             rows: list[tuple] = []
             held = 0
-            for f, block in records_of(content.as_buffer().to_pybytes()):
+            for f, block in records_of(content.as_buffer()):
                 if f["warc-type"] not in ("response", "revisit", "continuation"):
                     continue
                 total = f.get("warc-segment-total-length")

@@ -15,7 +15,7 @@ def test_round_trip(spark, tmp_path, segment, compression):
     pages = [(1, "http://a b/\r\nx", "", "c", 1), (2, None, None, "c", 1), (3, "u", big, "c", 1), (4, "u", big, "c", 1), (9, "u", big, "c", 1), (5, "u", "small", "c", 1), (6, "u", "small", "c", 1)]
     pages += [(i, "u", "hot " * 400, "c", 1) for i in range(20, 60)] + [(None, "u", "x" * 2000, "c", 1), (7, "u", "y" * 300_000, "c", 1)]
     path = f"file://{tmp_path}/w"
-    write_archives(spark.createDataFrame(pages, SCHEMA), path, segment=segment, chunk=37, per_file=7, compression=compression)
+    write_archives(spark.createDataFrame(pages, SCHEMA), path, segment=segment, chunk=37, archive=7 * (segment + 1024), compression=compression)
     got = {}
     for r in read_archives(spark, path).withColumns({"id": row_id(F.col("record_id")), "ref": row_id(F.col("refers_to"))}).collect():
         got.setdefault(r.id, []).append((r.type, r.ref, r.payload_bytes, r.payload_digest, r.payload))
@@ -48,3 +48,30 @@ def test_missing_segment(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(head.encode() + block + b"\r\n\r\n")
     with pytest.raises(Exception, match="segments|has .* bytes"):
         read_archives(spark, f"file://{tmp_path}").collect()
+
+
+def test_archives_are_bounded_in_bytes_and_cut_records_come_back(spark, tmp_path):
+    """Large pages make many archives of bounded size; the standing segment size sends common pages through reassembly."""
+    pages = [(i, "u", f"{i} " + "p" * 700_000, "c", 1) for i in range(40)] + [(100 + i, "u", f"{i} " + "q" * 20_000, "c", 1) for i in range(30)]
+    path = tmp_path / "w"
+    write_archives(spark.createDataFrame(pages, SCHEMA).coalesce(1), f"file://{path}", archive=2 << 20, compression="none")
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    assert len(files) >= 14 and max(f.stat().st_size for f in files) <= 2 << 20
+    records = [f for x in files for f, _ in records_of(x.read_bytes())]
+    assert sum(f["warc-type"] == "continuation" for f in records) > 40 * 80
+    got = {r.id: (r.payload_bytes, r.payload_digest) for r in read_archives(spark, f"file://{path}").withColumn("id", row_id(F.col("record_id"))).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, _, t, *_ in pages}
+
+
+def test_a_large_archive_is_read_record_by_record():
+    """200 MB of records, as one gzip member and as many, without holding the plain archive."""
+    import gzip
+    import tracemalloc
+
+    block = b"x" * 1_000_000
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for archive in (gzip.compress(record * 200, 1), gzip.compress(record, 1) * 200):
+        tracemalloc.start()
+        assert sum(len(b) for _, b in records_of(archive)) == 200_000_000
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000
+        tracemalloc.stop()
