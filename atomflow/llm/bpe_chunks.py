@@ -1,28 +1,30 @@
 """BPE encoding with reuse of content-defined chunks, and decoding.
 
 A rolling hash over 16 bytes cuts every text where the content says so, so that passages which
-documents share fall into the same chunks wherever they stand. A chunk is encoded once by each
-Python worker, while it stays in the worker's memory. A cut may run through a word, so what a chunk has in front of its
-first white space and behind its last isn't encoded with it: at every join of chunks the broken word is put
-together again, over as many chunks as it spans, and encoded as a whole. The ids then agree with those of
-the whole text, for tokenizers that drop white space and never look beyond it (``word_bpe_49k``: its
-normaliser works on characters and runs of white space, its pre-tokeniser on runs without white space).
-Inside chunks, words that occurred before come from memory too; all others go through the tokenizers
-library, which also gives the decoded form of each.
-
-Decoding joins the tokens with spaces, as the library does for a file without a decoder.
-
-Reuse is per worker, not across the cluster: an exchange of chunks would move every text through the
-shuffle, which costs more disk than the task allows (1.5 times the input) and more than it saves.
-
-Defined results: a null text is an empty one, with 0 tokens and the digests of the empty string.
+documents share fall into the same chunks wherever they stand. The words inside a chunk, between its first and its last white space, are encoded
+once by each Python worker, while the chunk stays in the worker's memory. A cut may run through a word, so at every join of chunks a window
+is encoded again: what is broken there and a word on either side. Its ids must begin and end with those that the neighbouring chunks have for
+these words; then what lies between is the repair. If they don't agree, the window takes more words on either side, and when a
+chunk has no more of them, the whole text is encoded at once. Chunks that are short of words are part of the window.
+Windows, and words that aren't in memory, go through the tokenizers library, many in one call.
+
+Chunks can be encoded apart only by tokenizers that drop white space and never look beyond it, such as ``word_bpe_49k``; others are refused.
+Decoding joins the tokens with spaces, as the library does for a file without a decoder; files with one are refused too.
+
+Reuse is per worker, not across the cluster. An exchange would have to bring the texts, or the ids of shared chunks back to their documents, through a
+shuffle by document: 1.1 times the check tables (operator 7's shuffle of the same texts: 561 MB for 0.51 GB), and the digests and ids of
+shared chunks on top, of 1.5 times allowed in all; about one chunk in ten of these tables is shared, and its words are in memory anyway.
+
+Defined results: a null text is an empty one, with 0 tokens and the digests of the empty string. Texts of any length are taken whole; chunks have
+at most ``LONGEST`` bytes, longer stretches without a cut are cut there. Ids may be null or repeat: there is one row for each document. Only the columns
+for id and text are read, so others may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,12 @@ from atomflow.llm.tokens import Memory, library, loaded
 
 WINDOW = 16
 MEAN = 512
+#: Bytes of a chunk at most.
+LONGEST = 64 * MEAN
 CHUNKS = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = re.compile(rb"[\t-\r ]")
+_WORD = re.compile(rb"[^\t-\r ]+")
 
 
 def cut_points(data: bytes, mean: int = MEAN) -> list[int]:
@@ -53,31 +58,98 @@ def cut_points(data: bytes, mean: int = MEAN) -> list[int]:
         k = len(a) - WINDOW
         rolling = mix((total[WINDOW : WINDOW + k] - total[:k]) * q[:k])
         out += (np.flatnonzero(rolling % np.uint64(mean) == 0) + (at + WINDOW)).tolist()
-    ends = []
-    for x in out:
+    ends, last = [], 0
+    for x in [*out, n]:
         while x < n and data[x] & 0xC0 == 0x80:
             x += 1
-        if x < n and (not ends or x > ends[-1]):
+        while x - last > LONGEST:
+            last += LONGEST
+            while data[last] & 0xC0 == 0x80:
+                last -= 1
+            ends.append(last)
+        if last < x < n:
             ends.append(x)
+            last = x
     return [*ends, n]
 
 
+class Chunk:
+    """A chunk with inner words: what stands before the first white space and after the last one, and the words between."""
+
+    __slots__ = ("data", "body", "head", "tail", "first", "last", "left", "right")
+
+    def __init__(self, data: bytes, entries: list[tuple[bytes, bytes]], words: list[bytes], head: int, tail: int):
+        self.data, self.head, self.tail = data, head, tail
+        self.body = b" ".join([e[0] for e in entries if e[0]]), b" ".join([e[1] for e in entries if e[0]])
+        # The ids of the outer inner words, and where these words begin and end.
+        self.first, self.last = numbers(entries[:1]), numbers(entries[-1:])
+        self.right, self.left = data.index(words[0], head) + len(words[0]), data.rindex(words[-1], 0, tail)
+
+
+def numbers(entries: list[tuple[bytes, bytes]]) -> list[int]:
+    """The ids of entries."""
+    return [int(x) for e in entries for x in e[0].split()]
+
+
+class Join:
+    """What lies between two chunks, or a chunk and the text's end: broken bytes with the words on either side."""
+
+    __slots__ = ("before", "broken", "after")
+
+    def __init__(self, before: Chunk | None, broken: bytes, after: Chunk | None):
+        self.before, self.broken, self.after = before, broken, after
+
+    def window(self) -> bytes:
+        left = self.before.data[self.before.left :] if self.before else b""
+        return left + self.broken + (self.after.data[: self.after.right] if self.after else b"")
+
+    def wider(self, words: int) -> tuple[bytes, list[bytes], list[bytes]] | None:
+        """The window with so many words on either side, and these words; None if a chunk has fewer."""
+        left, right, one, two = b"", b"", [], []
+        if self.before:
+            inner = list(_WORD.finditer(self.before.data, self.before.head, self.before.tail))
+            if len(inner) < words:
+                return None
+            left, one = self.before.data[inner[-words].start() :], [m[0] for m in inner[-words:]]
+        if self.after:
+            inner = list(_WORD.finditer(self.after.data, self.after.head, self.after.tail))
+            if len(inner) < words:
+                return None
+            right, two = self.after.data[: inner[words - 1].end()], [m[0] for m in inner[:words]]
+        return left + self.broken + right, one, two
+
+
+def between(ids: list[int], before: Sequence[int], after: Sequence[int]) -> list[int] | None:
+    """The ids between those at the beginning and at the end, if they are there."""
+    a, b = len(before), len(ids) - len(after)
+    return ids[a:b] if a <= b and ids[:a] == list(before) and ids[b:] == list(after) else None
+
+
 class ChunkedBpe:
-    """Encoder of whole texts through shared chunks, for tokenizers that drop white space."""
+    """Encoder of whole texts through shared chunks, for tokenizers that drop white space and have no decoder."""
 
     def __init__(self, path: str, mean: int = MEAN, words: int = 250_000, chunks: int = CHUNKS):
         self.tokenizer, self.mean = library(path), mean
-        self.words = Memory(self._word, words)
-        self.chunks = Memory(self._chunk, chunks)
-        self.encoded_chunks = 0
-        self.tokens = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        alone = [self._ids(x) for x in ("ab", "cd")]
+        if self.tokenizer.decoder is not None or any(self._ids(f"ab{x}cd") != alone[0] + alone[1] for x in (" ", "  ", "\n", "\t ", "\r\n")):
+            raise ValueError(f"{path} has a decoder or doesn't drop white space, so chunks can't be encoded apart")
+        self.words = Memory(self._word, words, cost=lambda word, entry: 300 + len(word) + len(entry[0]) + len(entry[1]))
+        self.chunks = Memory(self._chunk, chunks, cost=lambda data, chunk: 600 + len(data) + (len(chunk.body[0]) + len(chunk.body[1]) if chunk else 0))
+        self.encoded_chunks = self.repaired = self.widened = 0
+        self.single = {i: (str(i).encode(), s.encode()) for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
         """The ids and their decoded form: without a decoder in its file, the library joins tokens with spaces."""
-        return " ".join(map(str, ids)).encode(), " ".join([self.tokens[i] for i in ids]).encode()
+        if len(ids) == 1:
+            return self.single[ids[0]]
+        one = [self.single[i] for i in ids]
+        return b" ".join([e[0] for e in one]), b" ".join([e[1] for e in one])
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        return self._entry(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        return self._entry(self._ids(word.decode()))
 
     def meet(self, texts: list[str | None]) -> None:
         """Encodes the words of some texts that aren't in memory, in one call of the library."""
@@ -88,38 +160,65 @@ class ChunkedBpe:
         for w, e in zip(new, encoded, strict=True):
             self.words.put(w, self._entry(e.ids))
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, list[tuple[bytes, bytes]], bytes] | bool:
-        """What stands before the first white space, the words between, and what follows the last one."""
+    def _chunk(self, data: bytes) -> Chunk | bool:
+        """The chunk with its inner words encoded, or False if it has none that give ids on either side."""
         self.encoded_chunks += 1
-        first = _WHITE.search(chunk)
+        first = _WHITE.search(data)
         if not first:
             return False
-        last = max(chunk.rfind(c) for c in (SPACES[i : i + 1] for i in range(len(SPACES))))
-        words = [self.words[w] for w in chunk[first.start() : last].split()]
-        body = b" ".join([w[0] for w in words if w[0]]), b" ".join([w[1] for w in words if w[0]])
-        return chunk[: first.start()], [body] if body[0] else [], chunk[last + 1 :]
+        tail = 1 + max(data.rfind(c) for c in (SPACES[i : i + 1] for i in range(len(SPACES))))
+        words = data[first.start() : tail].split()
+        entries = [self.words[w] for w in words]
+        if not words or not entries[0][0] or not entries[-1][0]:
+            return False
+        return Chunk(data, entries, words, first.start(), tail)
 
-    def encode(self, text: str | None) -> tuple[int, bytes, bytes]:
-        """Number of ids, the decimal ids joined by spaces, and the decoded text."""
-        data = (text or "").encode()
-        parts: list[tuple[bytes, bytes]] = []
-        broken, at = b"", 0
+    def _parts(self, data: bytes) -> list[Join | Chunk]:
+        """The chunks of a text with inner words, and the joins around them."""
+        parts: list[Join | Chunk] = []
+        before, broken, at = None, b"", 0
         for end in cut_points(data, self.mean):
-            chunk = data[at:end]
+            chunk = self.chunks[data[at:end]]
+            if chunk:
+                parts += [Join(before, broken, chunk), chunk]
+                before, broken = chunk, b""
+            else:
+                broken += data[at:end]
             at = end
-            entry = self.chunks[chunk]
-            if not entry:
-                broken += chunk
-                continue
-            head, body, tail = entry
-            if broken or head:
-                parts.append(self.words[broken + head])
-            parts += body
-            broken = tail
-        if broken:
-            parts.append(self.words[broken])
-        ids = b" ".join([p[0] for p in parts if p[0]])
-        return (ids.count(b" ") + 1 if ids else 0), ids, b" ".join([p[1] for p in parts if p[0]])
+        return [*parts, Join(before, broken, None)]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
+        """Of each text the number of ids, the decimal ids joined by spaces, and the decoded text."""
+        split = [self._parts((t or "").encode()) for t in texts]
+        joins = [p for parts in split for p in parts if isinstance(p, Join)]
+        encoded = self.tokenizer.encode_batch_fast([j.window().decode() for j in joins], add_special_tokens=False)
+        repairs = {id(j): self._repair(j, e.ids) for j, e in zip(joins, encoded, strict=True)}
+        out = []
+        for text, parts in zip(texts, split, strict=True):
+            entries = [p.body if isinstance(p, Chunk) else repairs[id(p)] for p in parts]
+            if None in entries:  # no window agreed
+                entries = [self._entry(self._ids(text or ""))]
+            ids = b" ".join([e[0] for e in entries if e[0]])
+            out.append(((ids.count(b" ") + 1 if ids else 0), ids, b" ".join([e[1] for e in entries if e[0]])))
+        return out
+
+    def encode(self, text: str | None) -> tuple[int, bytes, bytes]:
+        return self.encode_all([text])[0]
+
+    def _repair(self, join: Join, ids: list[int]) -> tuple[bytes, bytes] | None:
+        """The ids between two chunks, from a window that agrees with both; None if none does."""
+        self.repaired += 1
+        found = between(ids, join.before.last if join.before else (), join.after.first if join.after else ())
+        words = 1
+        while found is None:
+            self.widened += 1
+            words *= 2
+            wider = join.wider(words)
+            if wider is None:
+                return None
+            window, one, two = wider
+            found = between(self._ids(window.decode()), *(numbers([self.words[w] for w in side]) for side in (one, two)))
+        return self._entry(found)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, mean: int, full: bool) -> Iterator[pa.RecordBatch]:
@@ -128,7 +227,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, mean: int, full:
         texts, rows = batch.column(1).to_pylist(), []
         for lo, hi in sliced(texts, 1 << 20):
             encoder.meet(texts[lo:hi])
-            rows += [encoder.encode(t) for t in texts[lo:hi]]
+            rows += encoder.encode_all(texts[lo:hi])
         cols = [
             batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
             pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string()),

@@ -22,21 +22,29 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts in each of the two generations of an encoder's memory.
 MEMORY = 200_000
+#: Bytes in each of them.
+MEMORY_BYTES = 48 << 20
 _SPACE = re.compile("[\t-\r\x1c-\x20\x85\xa0  -     　] ")
 _CUT = re.compile(r"(?<=\S) ")
 _LATIN = re.compile("[\x00-ɏ]*")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _cost(key, value) -> int:
+    """About how many bytes a remembered key and value take."""
+    return 300 + 2 * len(key) + 80 * len(value) if hasattr(value, "__len__") else 200 + 2 * len(key)
+
+
 class Memory(dict):
-    """A dictionary of two generations: when the young one is full, it becomes the old one.
+    """A dictionary of two generations: when the young one is full, by its entries or its bytes, it becomes the old one.
 
-    Missing keys are looked up in the old generation, then made by ``make``.
+    Missing keys are looked up in the old generation, then made by ``make``. An entry that alone takes a large part of
+    the bytes isn't remembered.
     """
 
-    def __init__(self, make, size: int = MEMORY):
+    def __init__(self, make, size: int = MEMORY, limit: int = MEMORY_BYTES, cost=_cost):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.limit, self.cost, self.held, self.old = make, size, limit, cost, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -46,10 +54,15 @@ class Memory(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.size:
+        cost = self.cost(key, value)
+        if cost > self.limit >> 6:
+            return
+        if len(self) >= self.size or self.held + cost > self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += cost
 
 
 def library(path: str):
@@ -71,6 +84,9 @@ class ByteBpe:
         self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        pre = file["pre_tokenizer"] or {}
+        if file["normalizer"] or file["model"]["type"] != "BPE" or (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} isn't a byte-level BPE file without normaliser and prefix space")
         special_ids = {t["id"] for t in file["added_tokens"]}
         self.special = [t["content"] for t in file["added_tokens"]]
         self.size = max([*file["model"]["vocab"].values(), *special_ids]) + 1
@@ -80,7 +96,7 @@ class ByteBpe:
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in s): i for s, i in file["model"]["vocab"].items() if i not in special_ids}
         self.merges = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memory = Memory(self._make, memory)
+        self.memory = Memory(self._make, memory, cost=lambda part, ids: 200 + 2 * len(part) + len(ids))
 
     @property
     def tokenizer(self):

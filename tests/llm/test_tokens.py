@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from atomflow.llm import bpe_chunks
 from atomflow.llm.bpe_chunks import ChunkedBpe, cut_points, encode_documents
 from atomflow.llm.matrices import best_fit_decreasing, packed_matrices, position_ids, read_matrices, write_matrices
 from atomflow.llm.op5 import pack_documents
@@ -50,12 +51,68 @@ def test_shared_passages_are_encoded_once():
     assert cut_points(data, 64)[-1] == len(data)
 
 
+def test_joins_are_repaired_until_they_agree(monkeypatch):
+    """Every join is encoded again; where a neighbour's ids don't agree, the window grows, and in the end the whole text is encoded."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    lib = library(WORDS)
+    want = lib.encode(text, add_special_tokens=False).ids
+    encoder = ChunkedBpe(WORDS, mean=64)
+    assert encoder.encode(text)[0] == len(want) and encoder.repaired > 50 and encoder.widened == 0
+    # Wrong ids beside the joins, as a tokenizer would give that looks beyond white space: all windows of one word disagree.
+    wrong = ChunkedBpe(WORDS, mean=64)
+    real = wrong._chunk
+
+    def other(data):
+        chunk = real(data)
+        if chunk:
+            chunk.first = chunk.last = [1, 2, 3]
+        return chunk
+
+    wrong.chunks.make = other
+    assert wrong.encode(text)[1] == " ".join(map(str, want)).encode() and wrong.widened > 50
+    monkeypatch.setattr(bpe_chunks, "between", lambda ids, before, after: None)
+    assert ChunkedBpe(WORDS, mean=64).encode(text)[1] == " ".join(map(str, want)).encode()
+
+
+def test_chunks_are_bounded():
+    data = ("日本" * 400_000).encode()
+    ends = cut_points(data)
+    assert max(b - a for a, b in zip([0, *ends], ends)) <= bpe_chunks.LONGEST + 3 and ends[-1] == len(data)
+    assert all(data[:e].decode() is not None for e in ends[:50])
+    assert cut_points(b"x" * 200_000, 64)[-1] == 200_000 and len(cut_points(b"x" * 200_000)) >= 6
+
+
 def test_memory_is_bounded():
     m = Memory(lambda k: k + 1, 10)
     assert [m[i % 37] for i in range(500)] == [i % 37 + 1 for i in range(500)]
     assert len(m) <= 10 and len(m.old) <= 10
 
 
+def test_memory_is_bounded_in_bytes():
+    m = Memory(lambda k: k.encode(), 10**6, limit=1 << 20)
+    for i in range(3000):
+        assert m[str(i) * 300] == (str(i) * 300).encode()
+        assert m.held <= 1 << 20
+    assert m["y" * 200_000] and "y" * 200_000 not in m and len(m) + len(m.old) < 1000
+
+
+def test_text_without_spaces_is_not_remembered_whole():
+    encoder, lib = ByteBpe(BYTE), library(BYTE)
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(8000))
+        ids = encoder.encode(t)
+    assert ids == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() and encoder.memory.held <= 48 << 20
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        ByteBpe(WORDS)
+    with pytest.raises(ValueError):
+        ChunkedBpe(BYTE)
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, piece int")
 
