@@ -32,7 +32,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 def _cost(key, value) -> int:
     """About how many bytes a remembered key and value take."""
-    return 300 + 2 * len(key) + 80 * len(value) if hasattr(value, "__len__") else 200 + 2 * len(key)
+    return 300 + sum(80 * len(x) if hasattr(x, "__len__") else 32 for x in (key, value))
 
 
 class Memory(dict):

@@ -14,7 +14,8 @@ its whole text.
 
 Defined results: a null text is an empty one and gets the score of a text without features. Of
 several labels of one document the largest counts, null labels not at all. Without toxic and clean labelled documents there is
-no evidence, and every severity is 0; a warning is logged if the labels had both. An empty table gives no rows; further columns are ignored.
+no evidence, and every severity is 0; a warning is logged if the labels had both. Very long texts are scored whole. Ties in the order of the sample are
+settled by id and text, and rows that repeat both are one; null ids have no label but are scored. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atomflow.llm.text import mix, shingle_sets, trim
@@ -94,16 +96,43 @@ def fit(texts: Sequence[str], grades: Sequence[int], known: dict[str, int], step
         cols += seen.keys()
         vals += [np.log2(1 + n) for n in seen.values()]
     rows, cols, vals = np.array(rows, int), np.array(cols, int), np.array(vals, float)
+    sample = Sample(np.array(rows, int), np.array(cols, int), np.array(vals, float), y, top, len(known), penalty)
     share = np.bincount(y, minlength=top + 1) / len(y)
-    w = np.zeros(len(known))
-    first, gaps = -np.log(max(1 - share[0], 1e-3) / max(share[0], 1e-3)), np.zeros(top - 1)
+    first = -np.log(max(1 - share[0], 1e-3) / max(share[0], 1e-3))
     first = -first if share[0] < 0.5 else abs(first)
-    params = np.concatenate([w, [first], gaps])
+    params = np.concatenate([np.zeros(len(known)), [first], np.zeros(top - 1)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    n, f = len(y), len(known)
     for step in range(1, steps + 1):
-        w, t = params[:f], params[f] + np.concatenate([[0], np.cumsum(np.exp(params[f + 1 :]))])
-        score = np.bincount(rows, vals * w[cols], n)
+        _, grad = sample.objective(params)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Model(known, params[: len(known)], sample.thresholds(params))
+
+
+@dataclass
+class Sample:
+    """Feature values of texts (row, column, value) with their grades, and the objective of the fit.
+
+    params: the weights, the first threshold, and the logarithms of the gaps between thresholds.
+    """
+
+    rows: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+    y: np.ndarray
+    top: int
+    features: int
+    penalty: float
+
+    def thresholds(self, params: np.ndarray) -> np.ndarray:
+        f = self.features
+        return params[f] + np.concatenate([[0], np.cumsum(np.exp(params[f + 1 :]))])
+
+    def objective(self, params: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean log-likelihood less half the penalty on squared weights, and its gradient."""
+        n, f, y, top = len(self.y), self.features, self.y, self.top
+        w, t = params[:f], self.thresholds(params)
+        score = np.bincount(self.rows, self.vals * w[self.cols], n)
         q = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40)))  # P(grade > k)
         upper = np.concatenate([np.ones((n, 1)), q], 1)
         lower = np.concatenate([q, np.zeros((n, 1))], 1)
@@ -114,15 +143,13 @@ def fit(texts: Sequence[str], grades: Sequence[int], known: dict[str, int], step
         dl = np.concatenate([d, np.zeros((n, 1))], 1)[at, y] / p
         by_score = (du - dl) / n
         grad = np.zeros_like(params)
-        grad[:f] = np.bincount(cols, vals * by_score[rows], f) - penalty * w
+        grad[:f] = np.bincount(self.cols, self.vals * by_score[self.rows], f) - self.penalty * w
         by_t = np.zeros(top)
         np.add.at(by_t, y[y > 0] - 1, -du[y > 0] / n)
         np.add.at(by_t, y[y < top], dl[y < top] / n)
         grad[f] = by_t.sum()
         grad[f + 1 :] = np.exp(params[f + 1 :]) * np.cumsum(by_t[::-1])[::-1][1:]
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(known, params[:f], params[f] + np.concatenate([[0], np.cumsum(np.exp(params[f + 1 :]))]))
+        return float(np.log(p).mean() - self.penalty / 2 * (w @ w)), grad
 
 
 def _evidence(a: int, b: int, na: int, nb: int) -> float:
@@ -184,15 +211,18 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     own = own.filter("text is not null").withColumn("hash", F.xxhash64("text"))
     lengths = own.select("doc_id", "hash", F.char_length("text").alias("chars")).join(marks, "doc_id").distinct()
-    order = [F.xxhash64("doc_id", "hash"), F.col("doc_id"), F.col("hash")]
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash")
+    first = lengths.withColumn("nr", F.row_number().over(order)).filter(F.col("nr") <= sample)  # Spark limits the groups before it shuffles
     chosen: list[tuple[int, int, int]] = []
-    for label in (1, 0):
-        chars = 0
-        for r in lengths.filter(F.col("toxic") == label).orderBy(*order).limit(sample).collect():
-            if chars and chars + r["chars"] > sample * SAMPLE_CHARS:
-                break
-            chars += r["chars"]
-            chosen.append((r["doc_id"], r["hash"], label))
+    chars: Counter[int] = Counter()
+    full: set[int] = set()
+    for r in sorted(first.collect(), key=lambda r: (r["toxic"], r["nr"])):
+        label = r["toxic"]
+        if label in full or (chars[label] and chars[label] + r["chars"] > sample * SAMPLE_CHARS):
+            full.add(label)
+            continue
+        chars[label] += r["chars"]
+        chosen.append((r["doc_id"], r["hash"], label))
     wanted = own.sparkSession.createDataFrame(chosen, "doc_id bigint, hash bigint, toxic int")
     rows = own.join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).orderBy("doc_id", "text").collect()
     model = learn([r["text"] for r in rows], [r["toxic"] for r in rows])
