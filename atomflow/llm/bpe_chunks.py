@@ -39,6 +39,8 @@ MEAN = 512
 #: Bytes of a chunk at most.
 LONGEST = 64 * MEAN
 CHUNKS = 20_000
+#: Bytes of remembered words in each of two generations.
+WORDS_BYTES = 80 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = re.compile(rb"[\t-\r ]")
 _WORD = re.compile(rb"[^\t-\r ]+")
@@ -133,7 +135,7 @@ class ChunkedBpe:
         alone = [self._ids(x) for x in ("ab", "cd")]
         if self.tokenizer.decoder is not None or any(self._ids(f"ab{x}cd") != alone[0] + alone[1] for x in (" ", "  ", "\n", "\t ", "\r\n")):
             raise ValueError(f"{path} has a decoder or doesn't drop white space, so chunks can't be encoded apart")
-        self.words = Memory(self._word, words, cost=lambda word, entry: 300 + len(word) + len(entry[0]) + len(entry[1]))
+        self.words = Memory(self._word, words, limit=WORDS_BYTES, cost=lambda word, entry: 300 + len(word) + len(entry[0]) + len(entry[1]))
         self.chunks = Memory(self._chunk, chunks, cost=lambda data, chunk: 600 + len(data) + (len(chunk.body[0]) + len(chunk.body[1]) if chunk else 0))
         self.encoded_chunks = self.repaired = self.widened = 0
         self.single = {i: (str(i).encode(), s.encode()) for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}

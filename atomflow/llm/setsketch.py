@@ -98,7 +98,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     names = ["row", "doc_id", "digest", "n", "sig", "sketch"]
     for batch in batches:
         texts = [t.encode().lower() if t else None for t in batch.column("text").to_pylist()]
-        for lo, hi in sliced(texts, 1 << 20):
+        for lo, hi in sliced(texts, 1 << 19):
             sets = shingle_sets(texts[lo:hi], k)
             full = [s for s in sets if len(s)]
             sketch = iter(registers_of(full)) if full else iter(())
@@ -137,7 +137,7 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode().lower() if t else None for t in batch.column(1).to_pylist()]
-        for lo, hi in sliced(texts, 1 << 20):
+        for lo, hi in sliced(texts, 1 << 19):
             sets = shingle_sets(texts[lo:hi], k)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
     trim()

@@ -42,7 +42,7 @@ from atomflow.llm.scratch import input_bytes, shuffle_partitions
 from atomflow.llm.text import OTHER, hash_runs, hash_words, mix, sliced, trim
 
 #: Bytes of input (as stored) in a batch of documents, at least: a task's memory is some tens of times this.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Bytes of input (as stored) whose anchors one hash range takes, at least; about half as many bytes.
 RANGE = 64 << 20
 _NONE = np.int64(2**63 - 1)
@@ -279,7 +279,7 @@ def sizes_for(spark: SparkSession, batch_bytes: int | None = None) -> tuple[int,
     """Bytes of a batch and of a range, from the memory that a core of an executor has: the larger they are, the fewer and longer the rows between them."""
     conf = spark.sparkContext.getConf()
     memory = _bytes(conf.get("spark.executor.memory", "1g")) // max(1, int(conf.get("spark.executor.cores", "1")))
-    return batch_bytes or max(BATCH, memory >> 10), max(RANGE, memory >> 4)
+    return batch_bytes or max(BATCH, memory >> 11), max(RANGE, memory >> 4)
 
 
 def remove_repeats(

@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Bytes that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once; memory is about 40 times this.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _BASE_BYTES = 0x9E3779B97F4A7C15
 _BASE_WORDS = 0xD1342543DE82EF95
@@ -27,8 +27,14 @@ _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: What Python workers keep between tasks for one operator, and drop when another one's task comes.
+CACHES: list[dict] = []
+
+
 def trim() -> None:
-    """Gives memory that a finished task no longer needs back to the system, as Python workers live on."""
+    """Drops what other tasks have left and gives free memory back to the system, as Python workers live on."""
+    for cache in (*CACHES, _powers):
+        cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -155,7 +161,7 @@ def shingle_sets(texts: Sequence[bytes | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def sliced(texts: Sequence[bytes | None], size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def sliced(texts: Sequence[bytes | None], size: int = 2 * BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes each."""
     at, total = 0, 0
     for i, t in enumerate(texts):

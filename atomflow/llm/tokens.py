@@ -18,6 +18,8 @@ import re
 
 import numpy as np
 
+from atomflow.llm.text import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts in each of the two generations of an encoder's memory.
@@ -130,6 +132,7 @@ class ByteBpe:
 
 
 _loaded: dict[tuple, object] = {}
+CACHES.append(_loaded)
 
 
 def loaded(kind, path: str, *args):

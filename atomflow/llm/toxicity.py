@@ -232,8 +232,14 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return model
 
 
+def _memory(model: Model | None) -> Memory:
+    """Known features of the runs without white space that a task has met."""
+    return Memory(lambda t: token_features(t, model.known), limit=24 << 20, cost=lambda t, found: 180 + 2 * len(t) + 8 * len(found))
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    memory = Memory(lambda t: token_features(t, model.known)) if model else None
+    trim()
+    memory = _memory(model)
     for batch in batches:
         n = batch.num_rows
         if model:
@@ -257,7 +263,8 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(lambda t: token_features(t, model.known))
+        trim()
+        memory = _memory(model)
         for batch in batches:
             above = model.above(np.array([model.score(t, memory) for t in batch.column(at).to_pylist()]))
             yield batch.filter(pa.array(above[:, 0] < 0.5))
