@@ -267,11 +267,12 @@ class NearDuplicates:
         A bucket of two was settled when its pair was tested.
         """
         placed = buckets.filter("size > 2").join(labels.hint("merge"), "node", "left")
-        placed = placed.select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
+        placed = stored(placed.select("key", "band", "node", F.coalesce("component", "node").alias("comp")), "labelled")
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("best"))
-        mixed = mixed.filter("comps > 1").select("key", (-F.col("best.back")).alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("best.c")) / BLOCK).alias("ask_blocks"))
-        rows = placed.join(mixed.hint("merge"), "key").withColumn("outside", F.col("comp") != F.col("most"))
+        mixed = mixed.filter("comps > 1").select("key", "size", (-F.col("best.back")).alias("most"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("best.c")) / BLOCK).alias("ask_blocks"))
+        mixed = stored(mixed, "mixed-keys")
+        rows = split_join(placed, mixed.drop("size"), "key", "node", mixed.select("key", F.col("size").alias("n"))).withColumn("outside", F.col("comp") != F.col("most"))
         rows = stored(rows, "mixed")
         if not rows.take(1):
             return None
