@@ -6,7 +6,8 @@ once by each Python worker, while the chunk stays in the worker's memory. A cut
 is encoded again: what is broken there and a word on either side. Its ids must begin and end with those that the neighbouring chunks have for
 these words; then what lies between is the repair. If they don't agree, the window takes more words on either side, and when a
 chunk has no more of them, the whole text is encoded at once. Chunks that are short of words are part of the window.
-Windows, and words that aren't in memory, go through the tokenizers library, many in one call.
+Windows go through the tokenizers library, many in one call. So do words that aren't in memory, unless they are Latin ones and the file
+has the normaliser and pattern that ``LatinWords`` knows: it gives the same ids by tiktoken's merge loop, for many words at once.
 
 Chunks can be encoded apart only by tokenizers that drop white space and never look beyond it, such as ``word_bpe_49k``; others are refused.
 Decoding joins the tokens with spaces, as the library does for a file without a decoder; files with one are refused too.
@@ -23,7 +24,9 @@ for id and text are read, so others may have any names. An empty table gives no
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,6 +44,12 @@ LONGEST = 64 * MEAN
 CHUNKS = 20_000
 #: Bytes of remembered words in each of two generations.
 WORDS_BYTES = 80 << 20
+#: Words that are encoded as one text.
+TOGETHER = 4096
+_LATIN = re.compile("[ -~\xa1-\u012f\u0131-\u017f]*")
+_NORMALIZER = ["NFC", ("Replace", {"Regex": "\\s+"}, " "), "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "\x01"
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = re.compile(rb"[\t-\r ]")
 _WORD = re.compile(rb"[^\t-\r ]+")
@@ -75,6 +84,64 @@ def cut_points(data: bytes, mean: int = MEAN) -> list[int]:
     return [*ends, n]
 
 
+class LatinWords:
+    """Ids of words of printable characters up to U+017F, for files with the normaliser and pattern of ``word_bpe_49k``.
+
+    None of these characters changes or combines under NFC, and their lower case is one of them. Words are joined by spaces, and a mark takes the place
+    of the suffix behind every piece. With the mark, a piece's last byte makes a token before any merge of the file is tried.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, vocab = file["model"], file["model"].get("vocab", {})
+        plain = [tuple(n[k] for k in ("type", "pattern", "content")) if n["type"] == "Replace" else n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+        pre = (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        split = {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}
+        known = plain == _NORMALIZER and pre[0] == split and [(p["type"], p["add_prefix_space"], p["use_regex"]) for p in pre[1:]] == [("ByteLevel", False, False)]
+        options = {k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")}
+        suffix = model.get("end_of_word_suffix")
+        if not known or model["type"] != "BPE" or any(options.values()) or not suffix:
+            raise ValueError(f"{path} has another normaliser, pattern or model")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(shown)]
+        spelled = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        byte_of = {c: b for b, c in spelled.items()}
+
+        def raw(token: str) -> bytes:
+            body = token.removesuffix(suffix)
+            return bytes(byte_of[c] for c in body) + (_END.encode() if body != token else b"")
+
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        names = [*spelled.values(), *(c + suffix for c in spelled.values()), *(a + b for a, b in merged)]
+        order = [bytes([b]) for b in spelled] + [raw(n) for n in names[256:]]
+        ranks = {token: i for i, token in enumerate(order)}
+        if len(ranks) < len(order):
+            raise ValueError(f"{path} makes a token by several merges")
+        self.ids = [vocab[n] for n in names]
+        self.space = ranks[b" "]
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.merges = tiktoken.Encoding("own", pat_str=f"[^ {_END}]+{_END}| ", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+        kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x21, 0x180))}
+        letters, digits = ("".join(c for c, kind in kinds.items() if kind == k) for k in "LN")
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^ {letters}{digits}]+")
+
+    def takes(self, words: str) -> bool:
+        """Whether all words of a text, with spaces between them, are of this kind."""
+        return _LATIN.fullmatch(words) is not None and not any(s in words for s in self.special)
+
+    def encode_all(self, words: list[str]) -> list[list[int]]:
+        """The ids of each of these words, which are not empty."""
+        ranks = self.merges.encode_ordinary(self.pieces.sub(rf"\g<0>{_END}", " ".join(words).lower()))
+        ids, at, out = [self.ids[r] for r in ranks], 0, []
+        for end in [*(i for i, r in enumerate(ranks) if r == self.space), len(ids)]:
+            out.append(ids[at:end])
+            at = end + 1
+        return out
+
+
 class Chunk:
     """A chunk with inner words: what stands before the first white space and after the last one, and the words between."""
 
@@ -135,6 +202,10 @@ class ChunkedBpe:
         alone = [self._ids(x) for x in ("ab", "cd")]
         if self.tokenizer.decoder is not None or any(self._ids(f"ab{x}cd") != alone[0] + alone[1] for x in (" ", "  ", "\n", "\t ", "\r\n")):
             raise ValueError(f"{path} has a decoder or doesn't drop white space, so chunks can't be encoded apart")
+        try:
+            self.latin = LatinWords(path)
+        except (KeyError, ValueError):  # another kind of file: all words go through the library
+            self.latin = None
         self.words = Memory(self._word, words, limit=WORDS_BYTES, cost=lambda word, entry: 300 + len(word) + len(entry[0]) + len(entry[1]))
         self.chunks = Memory(self._chunk, chunks, cost=lambda data, chunk: 600 + len(data) + (len(chunk.body[0]) + len(chunk.body[1]) if chunk else 0))
         self.encoded_chunks = self.repaired = self.widened = 0
@@ -154,13 +225,24 @@ class ChunkedBpe:
         return self._entry(self._ids(word.decode()))
 
     def meet(self, texts: list[str | None]) -> None:
-        """Encodes the words of some texts that aren't in memory, in one call of the library."""
+        """Encodes the words of some texts that aren't in memory, all at once."""
         new = [w for w in set(" ".join([t for t in texts if t]).encode().split()) if w not in self.words and w not in self.words.old]
         if len(new) > self.words.size // 2:
             return  # they would push each other out; each is encoded when it comes
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded, strict=True):
-            self.words.put(w, self._entry(e.ids))
+        put, others = self.words.put, []
+        for at in range(0, len(new), TOGETHER):
+            group = new[at : at + TOGETHER]
+            if self.latin and not self.latin.takes(b" ".join(group).decode()):
+                others += [w for w in group if not self.latin.takes(w.decode())]
+                group = [w for w in group if self.latin.takes(w.decode())]
+            elif not self.latin:
+                others += group
+                group = []
+            for w, ids in zip(group, self.latin.encode_all([w.decode() for w in group]) if group else [], strict=True):
+                put(w, self._entry(ids))
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        for w, e in zip(others, encoded, strict=True):
+            put(w, self._entry(e.ids))
 
     def _chunk(self, data: bytes) -> Chunk | bool:
         """The chunk with its inner words encoded, or False if it has none that give ids on either side."""

@@ -298,3 +298,25 @@ def test_matrices_of_the_query_are_written(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op8, "fresh_path", lambda spark, label: f"file://{tmp_path}/out")
     rows = op8.op8_token_matrices(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, rows)) and rows
+
+
+def test_latin_words_need_no_call_of_the_library_each():
+    """Words that the merge loop takes get the library's ids, and only others and windows go through the library."""
+    lib = library(WORDS)
+    chars = [c for c in map(chr, range(0x21, 0x180)) if c not in "\x7fİ" and not 0x80 <= ord(c) <= 0xA0]
+    rng = random.Random(5)
+    words = ["".join(rng.choices(chars, k=rng.randint(1, 12))) for _ in range(3000)]
+    words += ["It's", "we'LL", "'re's", "x²½9", "naïve", "ŉſß", "a_b", "</w>", "\u00adx", "ŒUVRE"]
+    odd = ["İx", "\u1e9e", "e\u0301", "a\xa0b", "<|endoftext|>", "x<|startoftext|>y", "q\x01z", "日本", "Σας", "\u023a", "x\x85"]
+    encoder = ChunkedBpe(WORDS, mean=64)
+    for text in (" ".join(words), " ".join(words[:50] + odd + words[50:90]), "\n".join(odd)):
+        want = lib.encode(text, add_special_tokens=False).ids
+        encoder.meet([text])
+        assert encoder.encode(text)[1] == " ".join(map(str, want)).encode()
+    assert encoder.latin.encode_all(words) == [lib.encode(w, add_special_tokens=False).ids for w in words]
+    assert not any(encoder.latin.takes(w) for w in odd)
+    calls = []
+    encoder = ChunkedBpe(WORDS, mean=64)
+    inner, encoder.tokenizer = encoder.tokenizer, type("Counting", (), {"encode_batch_fast": lambda self, texts, **k: calls.extend(texts) or inner.encode_batch_fast(texts, **k)})()
+    encoder.meet([" ".join(words + ["日本"])])
+    assert calls == ["日本"]
