@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomflow.llm.scratch import HOT, split_join, stored
 
+#: Edges that are labelled in the driver at most (16 bytes each); more are labelled in the cluster, round by round.
+LOCAL = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of an edge (a, b); component is the smallest node reachable.
+    """(node, component) for every end of an edge (a, b of a stored table); component is the smallest node reachable.
 
-    Each round a node takes the smallest label among its own and its neighbours', then the label of that label; a
+    A few edges are labelled in the driver, since a round in the cluster costs some seconds however little it moves. Otherwise, each round a node takes the smallest label among its own and its neighbours', then the label of that label; a
     chain of n nodes needs about log2(n) rounds. A round reads and writes tables in the shared
     folder, so no lineage builds up. Nodes with very many edges and labels of very many nodes are split among tasks.
     """
+    edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
+    if edges.count() <= LOCAL:
+        table = edges.toArrow()
+        ends, number = np.unique(np.concatenate([table.column(c).to_numpy().astype(np.int64) for c in ("a", "b")]), return_inverse=True)
+        n = len(number) // 2
+        labels = ends[label_all(len(ends), number[:n], number[n:])]
+        found = edges.sparkSession.createDataFrame(pa.table({"node": ends, "component": labels}), "node bigint, component bigint")
+        return stored(found, "labels")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct(), "edges")
     if not both.take(1):
@@ -41,8 +54,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def label_all(nodes: int, i, j):
     """Labels (smallest node of the component) of a small graph with edges i[k]-j[k], with numpy."""
-    import numpy as np
-
     labels = np.arange(nodes)
     while True:
         new = labels.copy()

@@ -11,7 +11,7 @@ register with a chance near their Jaccard similarity, so bands of registers serv
    peaks clearly below the threshold are left out; the rest are confirmed on the full sets.
 3. Links make components. In buckets that still hold several components, every node outside the
    bucket's largest one is compared with the members of other components, in square blocks inside Python: by
-   sketch, then, from the best estimate down to what isn't ruled out, on the full sets, until one member of that component is
+   sketch, then, from the most equal registers down, on the full sets, until one member of that component is
    linked. Only links leave Python. Nodes that are in one component already need no further
    comparison, so a group of any number of copies costs a few comparisons each, and no bucket is capped.
 
@@ -94,6 +94,18 @@ def estimate(greater: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarr
     return (lo + hi) / 2
 
 
+def likely(greater: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, registers: int = REGISTERS) -> np.ndarray:
+    """Whether the estimate is at least so high: as the log-likelihood is concave, whether it doesn't fall there."""
+    u, v = na / (na + nb), nb / (na + nb)
+    c, tiny = (BASE - 1) / BASE, 1e-300
+    x, y = u - v * least, v - u * least
+    a, b = (np.maximum(-np.log1p(-np.clip(z, 0, 1) * c) / math.log(BASE), tiny) for z in (x, y))
+    # How fast the chances of a larger and of a smaller register fall.
+    da, db = v * c / (1 - x * c) / math.log(BASE), u * c / (1 - y * c) / math.log(BASE)
+    slope = (registers - greater - less) * (da + db) / np.maximum(1 - a - b, tiny) - greater * da / a - less * db / b
+    return (slope >= 0) & (np.minimum(u / v, v / u) >= least)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     names = ["row", "doc_id", "digest", "n", "sig", "sketch"]
     for batch in batches:
@@ -130,8 +142,8 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sa", "sb"))
-        est = estimate((a > b).sum(1), (a < b).sum(1), batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float))
-        yield pa.RecordBatch.from_struct_array(batch.filter(pa.array(est >= least)).select(["a", "b"]).to_struct_array())
+        near = likely((a > b).sum(1), (a < b).sum(1), batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float), least)
+        yield pa.RecordBatch.from_struct_array(batch.filter(pa.array(near)).select(["a", "b"]).to_struct_array())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -181,17 +193,18 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, length: int, num: i
             # Of two outsiders, the one with the smaller id asks.
             m = members[(comp[members] != comp[q]) & (~outside[members] | (ids[members] > ids[q]))]
             equal = s[m] == s[q]
-            near = equal.sum(1) >= (least - 0.05) * REGISTERS
+            same = equal.sum(1)
+            near = same >= (least - 0.05) * REGISTERS
+            if not near.any():
+                continue
             if band:
                 near &= ~equal[:, : band * length].reshape(len(m), band, length).all(2).any(1)
-            m = m[near]
-            if not len(m):
-                continue
-            est = estimate((s[q] > s[m]).sum(1), (s[q] < s[m]).sum(1), np.full(len(m), float(n[q])), n[m].astype(float))
+            m, same = m[near], same[near]
+            greater = (s[q] > s[m]).sum(1)
+            near = likely(greater, REGISTERS - same - greater, np.full(len(m), float(n[q])), n[m].astype(float), least)
+            m, same = m[near], same[near]
             done: set[int] = set()
-            for i in np.argsort(-est, kind="stable").tolist():
-                if est[i] < least:
-                    break
+            for i in np.argsort(-same, kind="stable").tolist():
                 if comp[m[i]] not in done and linked(full[q], full[m[i]], num, den):
                     done.add(comp[m[i]])
                     out.append((ids[q], ids[m[i]]))

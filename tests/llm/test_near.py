@@ -193,3 +193,34 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     found = sum(n for n, _ in got.values())
     assert found >= 0.995 * sum(links) and all(got[i][0] <= links[i] for i in got)
     assert sum(got[i][1] == c for i, c in enumerate(labels)) >= 0.99 * len(rows)
+
+
+@pytest.mark.parametrize("hot", [4, 10**6])
+def test_components_in_the_cluster(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    test_components(spark, monkeypatch, hot)
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark, tmp_path):
+    spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    spark.sparkContext.setJobGroup("small-graph", "components")
+    try:
+        labels = components(edges)
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small-graph")) <= 5
+    assert {r.component for r in labels.collect()} == {0}
+
+
+def test_likely_pairs_are_those_with_a_high_estimate():
+    rng = np.random.default_rng(3)
+    na, nb = rng.integers(1, 3000, 4000).astype(float), rng.integers(1, 3000, 4000).astype(float)
+    nb[:3000] = np.maximum(1, (na[:3000] * rng.uniform(0.7, 1.4, 3000)).round())
+    greater = rng.binomial(setsketch.REGISTERS, rng.uniform(0, 0.3, 4000))
+    less = rng.binomial(setsketch.REGISTERS - greater, rng.uniform(0, 0.3, 4000))
+    for least in (0.5, 0.72, 0.85):
+        high = estimate(greater, less, na, nb)
+        got = setsketch.likely(greater, less, na, nb, least)
+        clear = np.abs(high - least) > 1e-6
+        assert (got == (high >= least))[clear].all() and 100 < got.sum() < 3900
