@@ -1,6 +1,6 @@
 """Actors over dataflows: messages are rows, behaviours are registered by name, rounds run until no message is left.
 
-Each round delivers all messages at once: they are dealt with their actors' states into groups of some thousand actors, and the
+Each round delivers all messages at once: they are dealt with their actors' states into even tasks of some thousand messages, as many as there are cores at least, and the
 behaviour of each actor folds its messages in order and gives a new state and new messages. An actor gets its messages by
 (round in which they were sent, sender, the sender's running number), so what one actor sends to another arrives in the order in which it was sent. A
 new actor's id is a hash of its creator's id and an ordinal, so reruns give the same ids.
@@ -14,20 +14,24 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("atomflow")
 STOPPED = "stopped"
-#: Messages and states that one group handles, about.
+#: Messages that one task handles, about.
 GROUP = 20_000
+#: Groups of actors in a task, so that tasks are even.
+GROUPS = 4
 #: Rounds after which changed states are merged into the table of all states.
 COMPACT = 8
 #: Sender of the first messages and of the message that starts a new actor, which comes before all others.
 OUTSIDE = -1
 _START = "__start"
 _STEP = "kind string, target bigint, round int, sender bigint, seq bigint, body string, behaviour string, memory string"
+_ARROW = pa.schema([(c, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[t]) for c, t in map(str.split, _STEP.split(", "))])
+_dumps = json.JSONEncoder(sort_keys=True).encode
 
 
 @dataclass
@@ -113,21 +117,22 @@ def _deliver(behaviours: dict[str, Behaviour], starts: dict[str, Callable[[Conte
             behaviour = (starts[behaviour](c) if _START in message else behaviours[behaviour](c, message)) or behaviour
             memory["_made"] = memory.get("_made", 0) + c.made
             for to, b in c.sent:
-                out.append(("message", to, turn, target, number, json.dumps(b, sort_keys=True), None, None))
+                out.append(("message", to, turn, target, number, _dumps(b), None, None))
                 number += 1
             for ref, name, own in c.created:
                 out.append(("state", ref, turn, None, None, None, name, json.dumps(own)))
                 if name in starts:
-                    out.append(("message", ref, turn, OUTSIDE, 0, json.dumps({_START: True}), None, None))
-            out += [("out", target, turn, None, None, json.dumps(b, sort_keys=True), None, None) for b in c.out]
+                    out.append(("message", ref, turn, OUTSIDE, 0, _dumps({_START: True}), None, None))
+            out += [("out", target, turn, None, None, _dumps(b), None, None) for b in c.out]
         out.append(("state", target, turn, None, None, None, behaviour, json.dumps(memory)))
         return out
 
-    def fold(key, messages: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        known = {t: (b, m) for t, b, m in zip(states["target"], states["behaviour"], states["memory"], strict=True)}
-        messages = messages.sort_values(["target", "round", "sender", "seq"])
+    def fold(key, messages: pa.Table, states: pa.Table) -> pa.Table:
+        known = {t: (b, m) for t, b, m in zip(*(states[c].to_pylist() for c in ("target", "behaviour", "memory")), strict=True)}
+        order = ("target", "round", "sender", "seq")
+        messages = messages.sort_by([(c, "ascending") for c in order])
         out: list[tuple] = []
-        cols = [messages[c].tolist() for c in ("target", "round", "sender", "seq", "body")]
+        cols = [messages[c].to_pylist() for c in (*order, "body")]
         at, n = 0, len(messages)
         while at < n:
             target, end = cols[0][at], at
@@ -139,7 +144,8 @@ def _deliver(behaviours: dict[str, Behaviour], starts: dict[str, Callable[[Conte
             else:  # not created yet: the messages wait for the next round
                 out += [("message", target, r, s, q, b, None, None) for r, s, q, b in zip(*(c[at:end] for c in cols[1:]), strict=True)]
             at = end
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _STEP.split(", ")]).astype({"round": "Int32", "sender": "Int64", "seq": "Int64"})
+        made = list(zip(*out, strict=True)) or [()] * len(_ARROW)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(made, _ARROW.types, strict=True)], schema=_ARROW)
 
     return fold
 
@@ -166,16 +172,18 @@ def run_actors(
     states = actors.select("target", "behaviour", "memory", F.lit(-1).alias("round")).checkpoint()
     queue = messages.select("target", F.lit(-1).alias("round"), F.lit(OUTSIDE).cast("bigint").alias("sender"), "seq", "body").checkpoint()
     left = queue.count()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = spark.sparkContext.defaultParallelism
     outputs: list[DataFrame] = []
     latest = F.max_by(F.struct("behaviour", "memory"), "round").alias("s")
     for turn in range(rounds):
         if not left:
             break
-        groups = max(partitions, -(-left // GROUP))
-        dealt = lambda df, n=groups: df.withColumn("__group", F.pmod(F.xxhash64("target"), F.lit(n))).groupBy("__group")
+        # A given number of partitions: Spark would merge those of few bytes into a few tasks, though behaviours take long.
+        tasks = max(least, -(-left // GROUP))
+        group = F.pmod(F.xxhash64("target"), F.lit(GROUPS * tasks))
+        dealt = lambda df, n=tasks, g=group: df.withColumn("__group", g).repartition(n, "__group").groupBy("__group")
         asked = states.join(queue.select("target").distinct(), "target", "left_semi").groupBy("target").agg(latest).select(F.col("target").alias("target"), "s.*")
-        step = dealt(queue).cogroup(dealt(asked)).applyInPandas(_deliver(behaviours, starts, turn), _STEP).checkpoint()
+        step = dealt(queue).cogroup(dealt(asked)).applyInArrow(_deliver(behaviours, starts, turn), _STEP).checkpoint()
         found = {r["kind"]: r["count"] for r in step.groupBy("kind").count().collect()}  # five kinds at most
         if not found.get("state"):
             raise RuntimeError("messages are left for actors that nobody created")

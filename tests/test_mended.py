@@ -1,6 +1,8 @@
 """Cases in which rows or values once got lost: null keys, unions, message order, merged order, memory across atoms."""
 
+import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -316,3 +318,22 @@ def test_systems():
     from atomflow.streaming import systems
 
     assert systems.default().version and systems.parallel(2) is not None and systems.test() is not None
+
+
+def test_actors_are_dealt_over_all_cores(spark, monkeypatch):
+    """Messages of few bytes aren't merged into one task: behaviours of a round run in as many tasks as there are cores."""
+    from atomflow.operators import actors
+
+    monkeypatch.setattr(actors, "GROUP", 100)
+
+    def where(c, m):
+        from pyspark import TaskContext
+
+        c.emit({"part": TaskContext.get().partitionId(), "n": m["n"]})
+
+    n = 2000
+    out = actors.run_actors(spark, {"where": where}, [(i, "where", {}) for i in range(n)], [(i, {"n": i}) for i in range(n)]).collect()
+    rows = [json.loads(r["body"]) for r in out]
+    assert sorted(r["n"] for r in rows) == list(range(n))
+    sizes = Counter(r["part"] for r in rows)
+    assert len(sizes) >= 15 and max(sizes.values()) < 600
