@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomflow.llm.text import parts_of
 from atomflow.llm.tokens import ByteBpe, loaded
 
 
@@ -36,7 +37,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, en
     encoder = loaded(ByteBpe, tokenizer)
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text in (row for p in parts_of(batch, 1) for row in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)):
             for k, at, n, part in pieces_of(encoder.encode(text) + end, capacity):
                 rows.append((doc_id, k, at, n, zlib.crc32(part)))
         cols = [np.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[1:] or [()] * 4, ("i4", "i8", "i8", "i8"), strict=True)]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from atomflow.llm.graph import components
 from atomflow.llm.scratch import rows_that_stay, shuffle_partitions, small_side, split_join, stored
-from atomflow.llm.text import mix, shingle_sets, sliced, trim
+from atomflow.llm.text import mix, parts_of, shingle_sets, sliced, trim
 from atomflow.llm.vectors import groups_of as runs_of
 
 REGISTERS = 160
@@ -108,7 +108,7 @@ def likely(greater: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     names = ["row", "doc_id", "digest", "n", "sig", "sketch"]
-    for batch in batches:
+    for batch in (p for b in batches for p in parts_of(b, 3)):
         texts = [t.encode().lower() if t else None for t in batch.column("text").to_pylist()]
         for lo, hi in sliced(texts, 1 << 19):
             sets = shingle_sets(texts[lo:hi], k)
@@ -147,7 +147,7 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for b in batches for p in parts_of(b, 1)):
         texts = [t.encode().lower() if t else None for t in batch.column(1).to_pylist()]
         for lo, hi in sliced(texts, 1 << 19):
             sets = shingle_sets(texts[lo:hi], k)

@@ -13,11 +13,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once; memory is about 40 times this.
 BLOCK = 1 << 19
+#: Bytes of texts of a part of a batch, about.
+PART = 1 << 20
 
 _BASE_BYTES = 0x9E3779B97F4A7C15
 _BASE_WORDS = 0xD1342543DE82EF95
@@ -171,3 +174,16 @@ def sliced(texts: Sequence[bytes | None], size: int = 2 * BLOCK) -> Iterator[tup
             at, total = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def parts_of(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about PART bytes of texts (its column number at) each, so that no batch is held as Python objects."""
+    lengths = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        total += n
+        if total >= PART:
+            yield batch.slice(first, i + 1 - first)
+            first, total = i + 1, 0
+    if first < batch.num_rows or not batch.num_rows:
+        yield batch.slice(first)

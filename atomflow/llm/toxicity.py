@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atomflow.llm.text import mix, shingle_sets, trim
+from atomflow.llm.text import mix, parts_of, shingle_sets, trim
 from atomflow.llm.tokens import Memory
 
 log = logging.getLogger("atomflow")
@@ -243,7 +243,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
     for batch in batches:
         n = batch.num_rows
         if model:
-            above = model.above(np.array([model.score(t, memory) for t in batch.column(1).to_pylist()]))
+            above = model.above(np.array([model.score(t, memory) for part in parts_of(batch, 1) for t in part.column(1).to_pylist()]))
         else:
             above = np.zeros((n, 1))
         yield pa.RecordBatch.from_arrays(
@@ -252,6 +252,19 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
         )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows that aren't toxic. They are handed on in parts, since whole batches are held here and, once more, by the JVM."""
+    trim()
+    memory = _memory(model)
+    for batch in batches:
+        for part in parts_of(batch, at):
+            above = model.above(np.array([model.score(t, memory) for t in part.column(at).to_pylist()]))
+            yield part.filter(pa.array(above[:, 0] < 0.5))
+    memory.clear()
+    memory.old.clear()
+    trim()
+
+
 def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_severity, grade (the median one) and toxic (grade above 0 is more likely than not)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -261,15 +274,4 @@ def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose grade is more likely 0 than not; texts are scored where they are read."""
     at = docs.columns.index(text_col)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
-        memory = _memory(model)
-        for batch in batches:
-            above = model.above(np.array([model.score(t, memory) for t in batch.column(at).to_pylist()]))
-            yield batch.filter(pa.array(above[:, 0] < 0.5))
-        memory.clear()
-        memory.old.clear()
-        trim()
-
-    return docs.mapInArrow(clean, docs.schema) if model else docs
+    return docs.mapInArrow(lambda it: _clean(it, model, at), docs.schema) if model else docs

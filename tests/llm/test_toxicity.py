@@ -150,3 +150,17 @@ def test_features_are_chosen_as_by_plain_counts():
 
     want = {f for f in tried if evidence(f) >= least and counts[f][1] * n[0] > 3 * counts[f][0] * n[1]}
     assert set(model.known) == want and {"qvil-", "xwor-"} <= want
+
+
+def test_clean_rows_are_handed_on_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    from atomflow.llm import text, toxicity
+
+    monkeypatch.setattr(text, "PART", 10_000)
+    model = toxicity.Model({"bad": 0}, np.array([9.0]), np.array([1.0]))
+    texts = [None if i % 7 == 0 else ("bad " if i % 3 == 0 else "good ") * 200 for i in range(500)] + ["good " * 9000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(toxicity._clean(iter([batch, batch.slice(0, 0)]), model, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [i for i, t in enumerate(texts) if not (t or "").startswith("bad")]
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts[:-3]) < 12_000 and len(parts) >= 40
